@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, packing, pii, tokenizer
+from . import chunking, packing, pii, tokenizer, truncation
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,20 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return p9_pack(spark, d).groupBy("container").agg(F.count("*").alias("n_parts"), F.sum("n_tokens").alias("used"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_masked, p8_ids, p8_sizes, p9_pack, p9_containers)}
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judge(table(spark, d, "documents", "doc_id", "text", "source"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    return truncation.shares(_judged(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_masked, p8_ids, p8_sizes, p9_pack, p9_containers, p10_found, p10_sources)}
 SQL = {
     "p6_found": """
         WITH r AS (SELECT DISTINCT request_id, coalesce(chunk_size, 500) AS size FROM conversion_requests)
