@@ -109,7 +109,7 @@ def judge(documents: DataFrame) -> DataFrame:
     tails = tails.join(three.select("prev2", "prev1", "word", F.col("n").alias("n3"), F.col("stop").alias("stop3"), F.col("end").alias("end3")), ["prev2", "prev1", "word"], "left")
     tails = tails.join(three.groupBy("prev2", "prev1").agg(F.sum("n").alias("c3")), ["prev2", "prev1"], "left")
     tails = tails.join(nodes(three, "inner3", "prev2", "prev1"), ["prev2", "prev1", "word"], "left")
-    tails = tails.join(two.select("prev1", "word", F.col("n").alias("n2"), F.col("stop").alias("stop2")), ["prev1", "word"], "left")
+    tails = tails.join(two.select("prev1", "word", F.col("n").alias("n2"), F.col("stop").alias("stop2"), F.col("end").alias("end2")), ["prev1", "word"], "left")
     tails = tails.join(two.groupBy("prev1").agg(F.sum("n").alias("c2")), "prev1", "left")
     tails = tails.join(nodes(two, "inner2", "prev1"), ["prev1", "word"], "left")
     tails = tails.join(one.select("word", F.col("n").alias("n1")), "word", "left").join(nodes(one, "inner1"), "word", "left")
@@ -117,7 +117,8 @@ def judge(documents: DataFrame) -> DataFrame:
     broke = lambda k: (n(f"n{k}") == 0) & F.col(f"inner{k}").isNotNull()
     # The longest context that the corpus knows well enough decides; a word it never saw there is odd, not cut.
     inside = F.when(n("c3") >= CONTEXT, broke(3)).when(n("c2") >= CONTEXT, broke(2)).otherwise(broke(1) & (n("end3") <= 2))
-    goes_on = lambda k: n(f"stop{k}") < ENDING_SHARE * n(f"n{k}")
+    # What ends texts at least as often as it goes on is a way to end them.
+    goes_on = lambda k: (n(f"stop{k}") < ENDING_SHARE * n(f"n{k}")) & (n(f"end{k}") < n(f"n{k}"))
     phrase = F.when(n("n3") >= USES, goes_on(3)).when(n("c3") >= CONTEXT, False).when(n("n2") >= USES, goes_on(2)).otherwise(False)
     closing = (n("n3") == 0) & ~inside  # as often as it may end texts, no text goes on after it
     tails = tails.select("prev2", "prev1", "word", inside.alias("inside"), phrase.alias("phrase"), closing.alias("closing"))
