@@ -20,6 +20,8 @@ LIMIT_COUNT, LIMIT_SHARE, LIMIT_RATIO, NEAR = 3, 0.04, 6.0, 15
 CONTEXT = 5
 #: A tail used so often that is followed by a sentence's end in less than this share of its uses goes on elsewhere.
 USES, ENDING_SHARE = 2, 0.02
+#: Texts that a tail must end, besides that share of its uses, to be a way to end a text.
+CLOSING = 5
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 _TOKEN = rf"[{_CJK}]|\p{{L}}[\p{{L}}\p{{M}}'’]*|0|[.!?。！？…]+"
@@ -117,8 +119,9 @@ def judge(documents: DataFrame) -> DataFrame:
     broke = lambda k: (n(f"n{k}") == 0) & F.col(f"inner{k}").isNotNull()
     # The longest context that the corpus knows well enough decides; a word it never saw there is odd, not cut.
     inside = F.when(n("c3") >= CONTEXT, broke(3)).when(n("c2") >= CONTEXT, broke(2)).otherwise(broke(1) & (n("end3") <= 2))
-    # What ends texts at least as often as it goes on is a way to end them.
-    goes_on = lambda k: (n(f"stop{k}") < ENDING_SHARE * n(f"n{k}")) & (n(f"end{k}") < n(f"n{k}"))
+    # A cut falls on a given place of a given phrase very rarely; what ends texts more often is a way to end them.
+    closes = lambda k: (n(f"end{k}") >= n(f"n{k}")) | (n(f"end{k}") >= CLOSING) & (n(f"end{k}") >= ENDING_SHARE * n(f"n{k}"))
+    goes_on = lambda k: (n(f"stop{k}") < ENDING_SHARE * n(f"n{k}")) & ~closes(k)
     phrase = F.when(n("n3") >= USES, goes_on(3)).when(n("c3") >= CONTEXT, False).when(n("n2") >= USES, goes_on(2)).otherwise(False)
     closing = (n("n3") == 0) & ~inside  # as often as it may end texts, no text goes on after it
     tails = tails.select("prev2", "prev1", "word", inside.alias("inside"), phrase.alias("phrase"), closing.alias("closing"))
