@@ -4,7 +4,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chunking, packing, pii, tokenizer, truncation
+from . import chunking, ocr, packing, pii, tokenizer, truncation
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.lines_to_repair(table(spark, d, "pages", "doc_id", "page", "raw_text"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.paragraphs(table(spark, d, "pages", "doc_id", "page", "raw_text"))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +72,7 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.shares(_judged(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_pieces, p7_found, p7_masked, p8_ids, p8_sizes, p9_pack, p9_containers, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_paragraphs, p6_found, p6_pieces, p7_found, p7_masked, p8_ids, p8_sizes, p9_pack, p9_containers, p10_found, p10_sources)}
 SQL = {
     "p6_found": """
         WITH r AS (SELECT DISTINCT request_id, coalesce(chunk_size, 500) AS size FROM conversion_requests)
