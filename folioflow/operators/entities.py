@@ -38,20 +38,24 @@ def dates(x: Column) -> Column:
 def money(x: Column) -> Column:
     """Array of struct original, value, currency: each amount once, in reais first; the value of unreadable digits is
     null."""
-    out = []
-    for currency, (sign, pattern) in MONEY.items():
 
-        def one(n: Column, currency: str = currency, sign: str = sign) -> Column:
+    def of(currency: str, sign: str, pattern: str) -> Column:
+        def one(n: Column) -> Column:
             plain = F.replace(F.replace(n, F.lit("."), F.lit("")), F.lit(","), F.lit(".")) if currency == "BRL" else F.replace(n, F.lit(","), F.lit(""))
             return F.struct(F.concat(F.lit(f"{sign} "), n).alias("original"), plain.try_cast("double").alias("value"), F.lit(currency).alias("currency"))
 
-        out.append(F.transform(_all(x, pattern, 1), one))
-    return F.concat(*out)
+        return F.transform(_all(x, pattern, 1), one)
+
+    return F.concat(*[of(k, *v) for k, v in MONEY.items()])
 
 
 def identity_numbers(x: Column) -> Column:
     """Array of struct kind, original."""
-    return F.concat(*[F.transform(_all(x, p), lambda o, k=k: F.struct(F.lit(k).alias("kind"), o.alias("original"))) for k, p in IDS.items()])
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(_all(x, pattern), lambda o: F.struct(F.lit(kind).alias("kind"), o.alias("original")))
+
+    return F.concat(*[of(k, p) for k, p in IDS.items()])
 
 
 def explode(df: DataFrame, array: Column, *keys: str) -> DataFrame:

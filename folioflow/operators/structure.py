@@ -131,7 +131,11 @@ EQUATIONS = (r"\$\$(.+?)\$\$", r"\$(.+?)\$", r"\\begin\{equation\}(.+?)\\end\{eq
 def equations(pages: DataFrame) -> DataFrame:
     """doc_id, page, eq_no (from 1 in the file), id, latex, is_inline. Patterns are tried one after the other over the
     whole text, so what stands between two display formulas is found as inline too."""
-    found = F.concat(*[F.transform(F.regexp_extract_all("raw_text", F.lit(f"(?s){p}"), F.lit(1)), lambda s, i=i: F.struct(F.lit(i).alias("pattern"), X.strip(s).alias("latex"))) for i, p in enumerate(EQUATIONS)])
+
+    def by(i: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("raw_text", F.lit(f"(?s){pattern}"), F.lit(1)), lambda s: F.struct(F.lit(i).alias("pattern"), X.strip(s).alias("latex")))
+
+    found = F.concat(*[by(i, p) for i, p in enumerate(EQUATIONS)])
     rows = pages.where("instr(raw_text, '$') > 0 or instr(raw_text, 'begin{') > 0").select(*PAGE, F.posexplode(found).alias("pos", "e"))
     rows = numbered(rows, "eq_no", "pos")
     return rows.select(*PAGE, "eq_no", F.concat(F.lit("eq_"), "eq_no").alias("id"), F.col("e.latex").alias("latex"), (F.col("e.pattern") == 1).alias("is_inline"))
@@ -147,8 +151,9 @@ def footnotes(block: DataFrame) -> DataFrame:
 
 
 def calibrate(sizes: DataFrame, key: str = "doc_id", size: str = "font_size", pos: str = "pos") -> DataFrame:
-    """key, body (the most frequent size, of equals the one seen first; 12 without sizes) and threshold (1.2 times body,
+    """key, body (the most frequent size, of equals the one seen first, of those the
+    smaller; 12 without sizes) and threshold (1.2 times body,
     14 without sizes)."""
     counts = sizes.groupBy(key, F.round(size, 1).alias("size")).agg(F.count(size).alias("n"), F.min(pos).alias("first"))
-    best = counts.groupBy(key).agg(F.max_by(F.when(F.col("n") > 0, F.col("size")), F.struct("n", -F.col("first"))).alias("body"))
+    best = counts.groupBy(key).agg(F.max_by(F.when(F.col("n") > 0, F.col("size")), F.struct("n", -F.col("first"), -F.col("size"))).alias("body"))
     return best.select(key, F.coalesce("body", F.lit(BODY)).alias("body"), F.coalesce(F.col("body") * RATIO, F.lit(14.0)).alias("threshold"))
