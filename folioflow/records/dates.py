@@ -159,8 +159,9 @@ def normalise(mentions: DataFrame, zones: DataFrame) -> DataFrame:
     of places and is broadcast, together with one share per place. A null or unreadable original, a date that does not
     exist and a vague one are `no_date`; a local time without zone and origin is `no_zone`; a numeric date that no
     reading wins is `ambiguous`; these have a null stamp. Local times that occur twice mean the earlier instant, skipped
-    ones move forward by the gap. Repeated rows count once; other columns are dropped; empty tables give empty ones."""
-    once = mentions.select("mention_id", "original", "origin").dropDuplicates(["mention_id"])
+    ones move forward by the gap. Rows without mention_id are left
+    out, repeated ones count once; other columns are dropped; empty tables give empty ones."""
+    once = mentions.select("mention_id", "original", "origin").where("mention_id is not null").dropDuplicates(["mention_id"])
     read = readings(once)
     zones = zones.select("origin", "zone_name", "day_first").dropDuplicates(["origin"])
     read = read.join(F.broadcast(mixtures(read, zones)), "origin", "left")

@@ -136,7 +136,7 @@ def profiles(df: DataFrame) -> DataFrame:
             out = [(feed, no, name, f.seen, f.n, *f.types, f.pos, f.logs, f.ints, *[f.slots.get(i) for i in range(len(mins))]) for (feed, no), fields in found.items() for name, f in fields.items()]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["feed", "file_no", "field", *sums, *mins]).convert_dtypes(), schema=_arrow(sums, mins), preserve_index=False)
 
-    once = df.select("infer_id", "feed", "file_no", "fields").dropDuplicates(["infer_id"]).select("feed", "file_no", "fields")
+    once = df.select("infer_id", "feed", "file_no", "fields").where("infer_id is not null").dropDuplicates(["infer_id"]).select("feed", "file_no", "fields")
     partial = once.mapInArrow(rows, schema)
     return partial.groupBy("feed", "file_no", "field").agg(*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in mins])
 
@@ -274,7 +274,7 @@ def changes(df: DataFrame) -> DataFrame:
     `renamed`, `type_changed`), field, new_field (empty unless renamed).
 
     A field is there if any readable record has it with a non-null value; its type is the most frequent one. Rows
-    without feed or file_no belong to no file and are left out; repeated rows count once; files without a readable
+    without infer_id, feed or file_no belong to no file and are left out; repeated rows count once; files without a readable
     record have no fields. Extra columns are ignored. An empty table gives an empty table."""
     prof = profiles(df)
     pairs = file_pairs(df)
@@ -341,7 +341,7 @@ def consistent(df: DataFrame) -> DataFrame:
     last = profiles(df).where("n > 0 and instr(field, '.') = 0")
     top = F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
     kinds = last.groupBy("feed", "field").agg(F.max_by(top, "file_no").alias("kind")).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("kinds"))
-    once = df.select("infer_id", "feed", "file_no", "fields").dropDuplicates(["infer_id"])
+    once = df.select("infer_id", "feed", "file_no", "fields").where("infer_id is not null").dropDuplicates(["infer_id"])
     joined = once.join(log.join(kinds, "feed", "full"), "feed", "left").select("infer_id", "feed", "file_no", "fields", "log", "kinds")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,12 +139,13 @@ def convert(money: DataFrame, rates: DataFrame) -> DataFrame:
     money: money_id, original, value, currency, context; rates: currency, brl_per_unit (a fixed list of at most
     MOST_RATES currencies; null or repeated rates are dropped). What original states wins; unit and scale it lacks come
     from context, then currency; with a null original value counts, in whole units of currency. Rows without a readable
-    number or unit, or in a currency without rate, give none. Repeated rows count once; other columns are dropped."""
+    number or unit, or in a currency without rate, give none. Rows without money_id are left
+    out, repeated ones count once; other columns are dropped; an empty table gives an empty one."""
     pairs = rates.select("currency", "brl_per_unit").where("currency is not null and brl_per_unit is not null").dropDuplicates(["currency"]).limit(MOST_RATES + 1).collect()
     if len(pairs) > MOST_RATES:
         raise ValueError(f"more than {MOST_RATES} currencies")
     table = conversions(money.sparkSession, [tuple(p) for p in pairs])
-    once = money.select("money_id", "original", "value", "currency", "context").dropDuplicates(["money_id"])
+    once = money.select("money_id", "original", "value", "currency", "context").where("money_id is not null").dropDuplicates(["money_id"])
     known = read(once).where("amount is not null and unit is not null").select("money_id", "amount", "unit")
     exact = F.col("amount") * F.col("factor") + F.col("offset")
     return known.join(F.broadcast(table), "unit").select("money_id", F.round(exact, 0).cast("bigint").alias("brl_cents"), "unit")

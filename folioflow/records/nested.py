@@ -180,10 +180,11 @@ def linked_rows(df: DataFrame, key: str = "infer_id", text: str = "fields", attr
     `$` and `attrs`, a map of the scalars that belong to the row's object, their paths relative to it.
 
     Null, blank, cut or otherwise unreadable texts give no rows. Text around the JSON is ignored; JSON text inside a
-    string counts as nested in place. Rows with a repeated key are read once (a key's texts are the same). Other
+    string counts as nested in place. Rows with a repeated key are read once (a key's texts are the same), rows without
+    key not at all; of a member given twice in one object the last counts for attributes. Other
     columns of df are dropped first, so their names cannot clash. An empty table gives an empty table.
     """
-    once = df.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
+    once = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key is not null").dropDuplicates(["key"])
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, node string, parent_node string" + (", attrs map<string,string>" if attributes else "")
 
