@@ -26,8 +26,25 @@ _BR = rf"(?:[{_HYPHEN}]\n[ ]*)"  # a word broken at the end of a line
 _CAP = rf"[{_UP}](?:[\w'’!@†]|{_BR})+"
 _SP = r"(?:[ \t]+|[ \t]*\n[ ]*)"
 _PART = r"(?:d[aeo]s?|del|della|van|von|der)"
-_NAME = re.compile(rf"{_CAP}(?:(?:{_SP}{_PART})?{_SP}{_CAP}|,{_SP}{_CAP}){{1,5}}")
-_EMAIL = re.compile(r"[\w.+%'-]+ ?@ ?(?:[\w-]+\.)+[A-Za-z]{2,}")
+_WORD = rf"(?:{_CAP}|[{_UP}]\.(?={_SP}))"  # a word or an initial
+_NAME = re.compile(rf"{_WORD}(?:(?:{_SP}{_PART})?{_SP}{_WORD}|,{_SP}{_CAP}){{1,5}}")
+_WORDS = re.compile(rf"(?<!\w)(?:{_CAP}|[{_UP}]\.)")
+# Names in lower case are only taken between a word that announces a person and one that ends the mention.
+_SMALL = rf"(?!(?:as|os|the|das|dos|des|uma|por|com|sem|sob|que|nos|nas|aos|and|for|its)\b)[{_LOW}](?:[{_LOW}'’@!†]|{_BR}){{2,}}"
+_SMALL_NAME = rf"{_SMALL}(?:(?:{_SP}{_PART})?{_SP}{_SMALL}){{1,3}}?"
+_AFTER_CUE = re.compile(
+    rf"(?:Sr\.|Sra\.|Srta\.|Dr\.|Dra\.|Mr\.|Mrs\.|Ms\.|assinado{_SP}por|acertado{_SP}entre|testemunha|ficou{_SP}com|Conforme{_SP}declarou|Compareceram|Segundo|Ciente:|Responsável:|signed{_SP}by|agreed{_SP}between|According{_SP}to|stated{_SP}by|Contact{_SP}person:)"
+    rf"{_SP}({_SMALL_NAME})(?=[,.(]|{_SP}(?:\(|e{_SP}(?:juntado|a{_SP}contrat)|desde{_SP}|nada{_SP}|compareceu|confirmou|on{_SP}receipt|and{_SP}the|attended|kept)|\s*$)"
+)
+_BEFORE_CUE = re.compile(rf"(?:^|(?<=[.!?;:)•-]\s)|(?<=\n))({_SMALL_NAME})(?={_SP}(?:confirmou{_SP}o{_SP}recebimento|compareceu{_SP}|nada{_SP}acrescentou|kept{_SP}the{_SP}key|attended{_SP}the))")
+_ANNOUNCED = re.compile(r"confirmou\s+o\s+receb|compareceu|nada\s+acres|kept\s+the|attended")
+_LOCAL = r"[\w.+%'-]+"
+# Plain, spaced, and written so that machines do not read it: (a), [at], arroba ... ponto, at ... dot.
+_EMAIL = re.compile(
+    rf"{_LOCAL}[ \n]?@[ \n]?(?:[\w-]+\.)+[A-Za-z]{{2,}}|{_LOCAL}\s?[(\[](?:a|at|arroba)[)\]]\s?(?:[\w-]+(?:\.|\s+(?:ponto|dot)\s+))+[A-Za-z]{{2,}}|"
+    rf"{_LOCAL}\s+arroba\s+(?:[\w-]+(?:\.|\s+ponto\s+))+[A-Za-z]{{2,}}|{_LOCAL}\s+at\s+(?:[\w-]+\s+dot\s+)+[A-Za-z]{{2,}}"
+)
+_EMAIL_AT = re.compile(r"@|[(\[](?:a|at|arroba)[)\]]|\sarroba\s|\sdot\s")
 _STREET = r"(?:Rua|R\.|Avenida|Av\.|Alameda|Al\.|Travessa|Tv\.|Praça|Pça\.|Estrada|Rodovia|Rod\.|Largo|Ladeira|Viela)"
 _STREET_AT = re.compile(rf"\b{_STREET}")
 _ADDRESS_PT = re.compile(rf"\b{_STREET}{_SP}(?:(?:{_PART}|[\w'’.!@†]|{_BR}|[ \t]|\n[ ]*){{2,60}}?)(?:,?{_SP}(?:n\.?[º°o]?|nº|km|n[úu]mero){_SP}?\d+|,?{_SP}s/n|,{_SP}\d{{1,5}}|{_SP}\d{{1,5}})\b(?:,{_SP}(?:apto|ap\.|bloco|casa|sala|conj\.){_SP}\w+)?", re.I)
@@ -54,6 +71,9 @@ _ID = re.compile(
     r")(?![\w/-]|[.,]\d)".replace(r"([ -])\d{4}\g<sep>", r"(?P<sep>[ -])\d{4}(?P=sep)").replace(r"\g<sep>", "(?P=sep)")
 )
 
+#: Where a number of any kind can be; the patterns above are only tried there.
+_REGION = re.compile(r"(?:[+(]\d|\d|[A-Z]{2}\d)[\dA-Zx().+/ \n-]{4,}")
+
 _ID_FOR = re.compile(r"(?:\bcpf|\brg|\bidentidade|identifica|\bcadastro|identity|\bid no|social (?:security )?number|\bssn|passport|passaporte|\bholder|titular|portador|documento de|\bdoc\.|\bcnh|\bpis|\bnif|personal number|tax number)", re.I)
 _ID_NOT = re.compile(r"(?:cnpj|nota fiscal|protocolo|processo|docket|invoice|\bbatch|\blote|\bitem\b|contrato|fatura|pedido|order no|\bpn\b|s[ée]rie|receipt no)[^.;\n]{0,16}$", re.I)
 _PHONE_FOR = re.compile(r"(?:\btel|fone|celular|ligar|call\b|phone|whats|recados|contato|d[úu]vida|portaria|atende|mobile|fax|number|n[úu]mero)", re.I)
@@ -108,11 +128,14 @@ def mod11(number: str, places: int) -> bool:
 
 
 def _near(text: str, start: int, end: int) -> tuple[str, str]:
-    return text[max(0, start - BEFORE) : start], text[end : end + AFTER]
+    return text[max(0, start - BEFORE) : start].replace("\n", " "), text[end : end + AFTER]
 
 
 def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for m in _ID.finditer(text):
+    regions = [(m.start(), min(m.end() + 2, len(text))) for m in _REGION.finditer(text)]
+    for m in (m for r in regions for m in _ID.finditer(text, *r)):
+        if m.group().count("\n") > 1:  # cells of a table
+            continue
         before, _ = _near(text, *m.span())
         score = {"cpf": 0.6, "rg": 0.55, "ssn": 0.45, "doc": 0.4, "iban": 0.3, "card": 0.2, "bare": 0.1}[m.lastgroup if m.lastgroup != "sep" else "card"]
         raw = m.group()
@@ -128,35 +151,32 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
             score -= 0.8
         yield "id_number", m.start(), m.end(), score
     for pattern in (_PHONE, _PHONE_WRAPPED):
-        for m in pattern.finditer(text):
+        for m in (m for r in regions for m in pattern.finditer(text, *r)):
+            if m.group().count("\n") > 1:
+                continue
             before, _ = _near(text, *m.span())
             score = 0.5 if m.group()[0] in "+(0" or m.group().count("5550") or m.re is _PHONE else 0.3
             score += 0.3 * bool(_PHONE_FOR.search(before)) - 0.8 * bool(_PHONE_NOT.search(before))
             yield "phone", m.start(), m.end(), score
 
 
-def _names(text: str) -> Iterator[tuple[str, int, int, float]]:
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of two and more words with capitals. Words that begin sentences, titles and labels are no part of a run."""
     for m in _NAME.finditer(text):
-        start, end = m.span()
-        span = m.group()
-        # Words that begin the sentence, titles and labels are no part of the name.
-        while True:
-            w = re.match(rf"({_CAP})[.:]?({_SP}|,{_SP})", text[start:end])
-            if w is None or re.sub(r"\W+", "", w.group(1)).lower() not in _FIRST:
-                break
-            start += w.end()
+        run: list[tuple[int, int]] = []
+        words = [w.span() for w in _WORDS.finditer(text, m.start(), m.end())]
+        for a, z in [*words, (m.end(), m.end())]:
+            if a < z and text[a:z].lower() not in _FIRST:
+                run.append((a, z))
+                continue
+            if len(run) > 1 and any(z2 - a2 > 2 for a2, z2 in run):
+                yield run[0][0], run[-1][1]
+            run = []
+
+
+def _names(text: str) -> Iterator[tuple[str, int, int, float]]:
+    for start, end in _runs(text):
         span = text[start:end]
-        if not re.search(rf"{_SP}|,", span):
-            continue
-        # A common word inside, as after a heading, ends it there.
-        ends = [w.end() for w in re.finditer(_CAP, span)]
-        for k, w in enumerate(re.finditer(_CAP, span)):
-            if k and w.group().lower() in _FIRST:
-                end = start + ends[k - 1]
-                span = text[start:end]
-                break
-        if not re.search(rf"{_SP}|,", span):
-            continue
         before, after = _near(text, start, end)
         score = 0.3
         if _TITLE.search(before):
@@ -174,11 +194,24 @@ def _names(text: str) -> Iterator[tuple[str, int, int, float]]:
         yield "name", start, end, score
 
 
+def _small_names(text: str) -> Iterator[tuple[str, int, int, float]]:
+    for m in _AFTER_CUE.finditer(text):
+        yield "name", m.start(1), m.end(1), 0.6
+    if _ANNOUNCED.search(text):
+        for at in _ANNOUNCED.finditer(text):  # only the words just before such a verb are read
+            for m in _BEFORE_CUE.finditer(text, max(0, at.start() - 90), min(len(text), at.end() + 20)):
+                yield "name", m.start(1), m.end(1), 0.6
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     """Kept spans (kind, start, end, score) in order; none overlaps another."""
     spans: list[tuple[str, int, int, float]] = []
-    if "@" in text:
-        spans += [("email", m.start() + len(m.group()) - len(m.group().lstrip(".'-")), m.end(), 0.9) for m in _EMAIL.finditer(text)]
+    done = 0
+    for at in _EMAIL_AT.finditer(text):  # only the surroundings of a sign are read
+        for m in _EMAIL.finditer(text, max(done, at.start() - 100), min(len(text), at.end() + 120)):
+            if m.start() < at.end() and m.end() > at.start() and m.start() >= done:
+                spans.append(("email", m.start() + len(m.group()) - len(m.group().lstrip(".'-")), m.end(), 0.9))
+                done = m.end()
     if re.search(r"\d{3}", text):
         spans += _numbers(text)
     if _STREET_AT.search(text):
@@ -187,6 +220,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
                 spans.append(("address", m.start(), m.end(), 0.8))
     spans += [("address", m.start(), m.end(), 0.8) for m in _ADDRESS_EN.finditer(text)]
     spans += _names(text)
+    spans += _small_names(text)
     rank = {"email": 0, "address": 1, "id_number": 2, "phone": 2, "name": 3}
     kept: list[tuple[str, int, int, float]] = []
     for s in sorted((s for s in spans if s[3] >= THRESHOLD), key=lambda s: (rank[s[0]], -s[3], s[1] - s[2], s[1])):
