@@ -3,6 +3,7 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -19,3 +20,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="folioflow-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns as results. Else a filter above would be pushed down through all steps, and every step's
+    expressions repeated in it wherever the next ones use them more than once."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))

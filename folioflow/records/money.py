@@ -9,6 +9,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import settled
 from .units import UnitGraph
 
 TARGET = "BRL:cent"
@@ -62,11 +63,9 @@ def _first(text: Column, table, left: str = _L, right: str = _R) -> Column:
     return out
 
 
-def number(text: Column) -> Column:
-    """The first number of a text as decimal, null if there is none. Of two kinds of marks the last one is the decimal
+def number(plain: Column) -> Column:
+    """A number of digits and marks as decimal, null if it is empty. Of two kinds of marks the last one is the decimal
     mark; one kind that repeats groups thousands, and so does a lone mark before exactly three digits."""
-    raw = F.regexp_replace(F.regexp_extract(text, f"({_NUMBER})", 1), r"[^\d]+$", "")
-    plain = F.regexp_replace(raw, "[ ']", "")
     tail = F.regexp_extract(plain, r"[.,](\d*)$", 1)
     mark = F.regexp_extract(plain, r"([.,])\d*$", 1)
     marks = F.length(plain) - F.length(F.translate(plain, ".,", ""))
@@ -89,34 +88,38 @@ def spelled(text: Column) -> Column:
 
 def read(df: DataFrame) -> DataFrame:
     """df with `amount` (signed, in `unit`) and `unit` (`currency:scale`), both null for an unreadable row."""
-    t, c = normal(F.col("original")), normal(F.col("context"))
-    df = df.withColumn("_t", t).withColumn("_c", c)
+    keep = df.columns
+    # Each step is columns of its own, so that no pattern is tried more than once a row.
+    df = df.withColumns({"_t": normal(F.col("original")), "_c": normal(F.col("context")), "_named": _first(normal(F.col("currency")), [(n, rf"^(?:{p})$") for n, p in CURRENCIES], "", "")})
     t, c = F.col("_t"), F.col("_c")
     # A minus before or after the digits, or brackets around all, is negative; `,-`, `.-` and `.--` stand for no cents.
-    negative = t.rlike(r"^\(.*\d.*\)$") & ~t.rlike(r"^[^(]") | t.rlike(r"^-") | t.rlike(r"^[^\d]*-[^\d]*\d") | t.rlike(r"\d ?-$")
-    digits = number(t)
-    value = F.coalesce(digits, spelled(t))
+    negative = t.rlike(r"^\(.*\d.*\)$|^-|^[^\d]*-[^\d]*\d|\d ?-$")
+    raw = F.regexp_replace(F.regexp_extract(t, f"({_NUMBER})", 1), r"[^\d]+$", "")
+    df = df.withColumns({"_raw": F.translate(raw, " '", ""), "_negative": negative, "_cents": F.when(t.rlike(r"cent|c[eê]nt|pen|\bp\b"), _first(t, CENTS))})
+    cents, digits = F.col("_cents"), number(F.col("_raw"))
     # Letters may touch the digits on the left ("2k", "5.87brl").
-    cents = _first(t, CENTS)
-    own = F.coalesce(cents, _first(t, CURRENCIES, r"(?<![\p{L}])", r"(?![\p{L}])"), _first(t, CURRENCIES, r"(?<=\p{L})", _R))
-    own_scale = F.when(cents.isNotNull(), "cent").otherwise(F.coalesce(_first(t, SCALES), F.lit("one")))
-    # A table's heading names its unit, with the scale beside it.
+    any_currency = "|".join(f"(?:{p})" for _, p in CURRENCIES)
+    sign = F.regexp_extract(t, rf"((?:{_L}|(?<=\p{{L}}))(?:{any_currency}){_R})", 1)
+    words = F.when(t.rlike(r"\p{L}|'"), t)
+    df = df.withColumns({"_digits": digits, "_sign": F.nullif(sign, F.lit("")), "_size": F.when(cents.isNotNull(), "cent").otherwise(F.coalesce(_first(words, SCALES), F.lit("one")))})
+    value = F.coalesce("_digits", F.when(t.rlike(r"^\p{L}"), spelled(t)))
+    own = F.coalesce(cents, _first(F.col("_sign"), [(n, rf"^(?:{p})$") for n, p in CURRENCIES], "", ""))
+    df = df.withColumns({"_value": value, "_own": own})
+    own, own_scale = F.col("_own"), F.col("_size")
+    # A table's heading names its unit, with the scale beside it; it is only asked where the amount has none.
+    asked = F.when(own.isNull() & F.col("_value").isNotNull(), c)
     units = "|".join(p for _, p in CURRENCIES)
-    stated = []
-    for name, pattern in CURRENCIES:
-        stated.append((name, rf"(?:{_L}|(?<={_L}t))(?:{pattern}){_R}"))
-    told = _first(c, stated, "", "")
-    scales = [(s, rf"(?:{_L}(?:{p}){_R}? ?(?:de |of )?(?:{units}){_R})|(?:{_L}(?:{units}) ?\(?(?:{p}){_R})") for s, p in SCALES]
-    told_scale = F.coalesce(_first(c, scales, "", ""), F.lit("one"))
-    named = _first(normal(F.col("currency")), [(n, rf"^(?:{p})$") for n, p in CURRENCIES], "", "")
-    scale = F.when(own.isNull() & (own_scale == "one"), F.when(told.isNotNull(), told_scale).otherwise("one")).otherwise(own_scale)
-    unit = F.concat_ws(":", F.coalesce(own, told, named), scale)
+    stated = [(name, rf"(?:{_L}|(?<={_L}t))(?:{pattern}){_R}") for name, pattern in CURRENCIES]
+    scales = [(k, rf"(?:{_L}(?:{p}){_R}? ?(?:de |of )?(?:{units}){_R})|(?:{_L}(?:{units}) ?\(?(?:{p}){_R})") for k, p in SCALES]
+    df = df.withColumns({"_told": _first(asked, stated, "", ""), "_told_scale": F.coalesce(_first(asked, scales, "", ""), F.lit("one"))})
+    told, named = F.col("_told"), F.col("_named")
+    scale = F.when(own.isNull() & (own_scale == "one") & told.isNotNull(), F.col("_told_scale")).otherwise(own_scale)
     null = F.col("original").isNull()
-    plain = F.concat_ws(":", named, F.lit("one"))
-    amount = F.when(null, F.col("value").try_cast("decimal(24,6)")).otherwise(F.when(negative, -value).otherwise(value))
     # try_cast rounds to the scale; what isn't finite becomes null.
-    unit = F.when(null, F.when(named.isNotNull(), plain)).when(F.coalesce(own, told, named).isNotNull(), unit)
-    return df.withColumns({"amount": amount, "unit": unit}).drop("_t", "_c")
+    amount = F.when(null, F.col("value").try_cast("decimal(24,6)")).otherwise(F.when(F.col("_negative"), -F.col("_value")).otherwise(F.col("_value")))
+    currency = F.when(null, named).otherwise(F.coalesce(own, told, named))
+    unit = F.when(currency.isNotNull(), F.concat_ws(":", currency, F.when(null, "one").otherwise(scale)))
+    return df.withColumns({"amount": amount, "unit": unit}).select(*keep, "amount", "unit")
 
 
 def conversions(spark: SparkSession, rates: list[tuple[str, Decimal]], target: str = TARGET) -> DataFrame:
@@ -146,6 +149,6 @@ def convert(money: DataFrame, rates: DataFrame) -> DataFrame:
         raise ValueError(f"more than {MOST_RATES} currencies")
     table = conversions(money.sparkSession, [tuple(p) for p in pairs])
     once = money.select("money_id", "original", "value", "currency", "context").where("money_id is not null").dropDuplicates(["money_id"])
-    known = read(once).where("amount is not null and unit is not null").select("money_id", "amount", "unit")
+    known = settled(read(once).select("money_id", "amount", "unit")).where("amount is not null and unit is not null")
     exact = F.col("amount") * F.col("factor") + F.col("offset")
     return known.join(F.broadcast(table), "unit").select("money_id", F.round(exact, 0).cast("bigint").alias("brl_cents"), "unit")
