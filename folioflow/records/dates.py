@@ -8,6 +8,8 @@ of it is built-in expressions; nothing leaves the JVM.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import settled
+
 # Month names and zone abbreviations with their offsets in minutes.
 MONTHS = {
     1: ("january", "januar", "janeiro", "jan"),
@@ -76,9 +78,11 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 def readings(df: DataFrame) -> DataFrame:
     """df with what each reading of `original` gives: `epoch_us`, `sure` (dates with one reading), `dmy`, `mdy` (numeric
     dates, null where that reading is no date), the time of day in microseconds `tod_us` and `zone_min`, minutes east."""
-    t = normal(F.col("original"))
-    cut = F.when(t.rlike(FULL), F.split(F.regexp_replace(t, FULL, "|".join(f"${i}" for i in range(1, _N))), r"\|"))
-    df = df.withColumn("_t", t).withColumn("_p", cut)
+    df = df.withColumn("_t", normal(F.col("original")))  # a column of its own, so it is built once
+    t = F.col("_t")
+    # What the pattern does not match stays as it is and has no bars.
+    parts = F.split(F.regexp_replace(t, FULL, "|".join(f"${i}" for i in range(1, _N))), r"\|")
+    df = df.withColumn("_p", parts).withColumn("_p", F.when(F.size("_p") == _N - 1, F.col("_p")))
     g = lambda i: F.nullif(F.get(F.col("_p"), F.lit(i - 1)), F.lit(""))
     month = _lookup({n: str(k) for k, names in MONTHS.items() for n in names})
     year = lambda c: F.when(F.length(c) == 2, F.concat(F.lit("20"), c)).otherwise(c)
@@ -162,9 +166,10 @@ def normalise(mentions: DataFrame, zones: DataFrame) -> DataFrame:
     ones move forward by the gap. Rows without mention_id are left
     out, repeated ones count once; other columns are dropped; empty tables give empty ones."""
     once = mentions.select("mention_id", "original", "origin").where("mention_id is not null").dropDuplicates(["mention_id"])
-    read = readings(once)
+    apart = readings(once)
+    read = settled(apart)
     zones = zones.select("origin", "zone_name", "day_first").dropDuplicates(["origin"])
-    read = read.join(F.broadcast(mixtures(read, zones)), "origin", "left")
+    read = read.join(F.broadcast(mixtures(apart, zones)), "origin", "left")
     pi = F.coalesce("pi", F.lit(0.5))
     both = F.col("dmy").isNotNull() & F.col("mdy").isNotNull() & (F.col("dmy") != F.col("mdy"))
     posterior = F.when(both, F.greatest(pi, 1 - pi)).otherwise(F.lit(1.0))
@@ -188,4 +193,4 @@ def normalise(mentions: DataFrame, zones: DataFrame) -> DataFrame:
     )
     out = out.withColumn("status", status)
     stamp = F.when(F.col("status") == "date", F.col("day").cast("string")).when(F.col("status") == "instant", _iso(F.unix_micros("at")))
-    return out.select("mention_id", stamp.alias("stamp"), "status", "reading", "posterior")
+    return settled(out.select("mention_id", stamp.alias("stamp"), "status", "reading", "posterior"))
