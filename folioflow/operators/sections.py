@@ -74,8 +74,8 @@ def metadata(pages: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def summary(pages: DataFrame, first: int = 3, limit: int = 500) -> DataFrame:
-    """doc_id, summary: the texts of the first pages, cut to `limit` characters with dots. The window sorts page numbers
-    and texts of a file; only the first pages stay."""
+    """doc_id, summary: the texts of the first pages, cut to `limit` characters with dots. The filter on the rank becomes a
+    group limit before the shuffle: of a file every task sends its first pages only."""
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("page"))
     top = pages.select(*PAGE, F.coalesce("raw_text", F.lit("")).alias("text")).withColumn("_r", rank).where(F.col("_r") <= first)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), " ")
@@ -83,11 +83,14 @@ def summary(pages: DataFrame, first: int = 3, limit: int = 500) -> DataFrame:
 
 
 def preview(pages: DataFrame, limit: int = 5000) -> DataFrame:
-    """doc_id, preview: pages in order until `limit` characters are reached, cut to it."""
-    run = F.sum(F.length("raw_text")).over(W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
-    kept = pages.where("raw_text is not null").select(*PAGE, F.col("raw_text").alias("text"), F.coalesce(run, F.lit(0)).alias("_before")).where(F.col("_before") < limit)
+    """doc_id, preview: pages in order until `limit` characters are reached, cut to it. Only lengths are summed along a
+    file; the texts of the few pages that are kept meet them in a join."""
+    some = pages.where("raw_text is not null")
+    before = F.sum("n").over(W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1))
+    kept = some.select(*PAGE, F.length("raw_text").alias("n")).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < limit).select(*PAGE)
+    text = some.select(*PAGE, F.substring("raw_text", 1, limit).alias("text")).join(kept, [*PAGE], "left_semi")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n\n")
-    return kept.groupBy("doc_id").agg(F.substring(whole, 1, limit).alias("preview"))
+    return text.groupBy("doc_id").agg(F.substring(whole, 1, limit).alias("preview"))
 
 
 def routing(pages: DataFrame, classified: DataFrame, tables: DataFrame, equations: DataFrame, footnotes: DataFrame, paras: DataFrame, prefer_tables: bool = False, prefer_equations: bool = False, least: float = 0.7) -> DataFrame:
