@@ -276,11 +276,11 @@ def changes(df: DataFrame) -> DataFrame:
     A field is there if any readable record has it with a non-null value; its type is the most frequent one. Rows
     without infer_id, feed or file_no belong to no file and are left out; repeated rows count once; files without a readable
     record have no fields. Extra columns are ignored. An empty table gives an empty table."""
-    prof = profiles(df)
-    pairs = file_pairs(df)
-    first = prof.join(pairs, ["feed", "file_no"]).drop("prev").withColumn("side", F.lit(1))
-    second = prof.withColumnRenamed("file_no", "prev").join(pairs, ["feed", "prev"]).drop("prev").withColumn("side", F.lit(0))
-    both = first.unionByName(second.select(first.columns)).repartition("feed", "file_no").sortWithinPartitions("feed", "file_no")
+    # Each profile goes to its own comparison (side 1) and to the next file's (side 0); it is built only once.
+    goes = F.explode(F.array(F.struct(F.col("file_no").alias("own"), F.col("file_no").alias("to"), F.lit(1).alias("side")), F.struct(F.col("prev").alias("own"), F.col("file_no").alias("to"), F.lit(0).alias("side")))).alias("g")
+    routes = file_pairs(df).select("feed", goes).select("feed", F.col("g.own").alias("file_no"), "g.to", "g.side")
+    both = profiles(df).join(routes, ["feed", "file_no"]).drop("file_no").withColumnRenamed("to", "file_no")
+    both = both.repartition("feed", "file_no").sortWithinPartitions("feed", "file_no")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, at = [], None
