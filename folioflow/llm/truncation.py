@@ -24,7 +24,8 @@ USES, ENDING_SHARE = 2, 0.02
 CLOSING = 5
 
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
-_TOKEN = rf"[{_CJK}]|\p{{L}}[\p{{L}}\p{{M}}'’]*|0|[.!?。！？…]+"
+_TOKEN = rf"[{_CJK}]|\p{{L}}[\p{{L}}\p{{M}}'’]*|0|[.…]"
+_BLANKS = " \t\n\r\x0b\x0c\x85\u00a0\u2028\u2029\u3000"
 _END = r"[.!?。！？][\s\"'”’»)\]]*$"
 _BROKEN = r"(�|&[a-zA-Z#0-9]{0,6}|<[a-zA-Z/]{0,5}|\\u?[0-9a-fA-F]{0,3})$"
 _DOTS = r"(\.\.\.|…)$"
@@ -32,28 +33,26 @@ _OPEN = r"[,;:(\[¿¡–—«“/&+=-]$"
 
 
 def _tokens(text: Column) -> Column:
-    """Words in lower case, digits as 0, marks that end a sentence as one token; other marks are left out."""
-    low = F.regexp_replace(F.lower(text), r"\d+", "0")
-    return F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))
+    """Words in lower case, digits as 0, `.` for marks that end a sentence and `…` for dots; other marks are left out."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(text), r"\d+", "0"), r"\.\.+|…", " … ")
+    return F.regexp_extract_all(F.translate(low, "!?。！？", "....."), F.lit(_TOKEN), F.lit(0))
 
 
 def _is_end(t: Column) -> Column:
-    return t.rlike(r"^[.!?。！？…]")
+    return t.isin(".", "…")
 
 
 def grams(docs: DataFrame) -> DataFrame:
     """Each token with the two before it (within the sentence) and what follows: prev2, prev1, word, next (`word`, `stop`
     or `end` of the text; dots, which may stand for a cut, count as that). docs: tokens."""
-    at = lambda i: F.get("tokens", i)
-
-    def gram(i: Column) -> Column:
-        p1, p2, n = at(i - 1), at(i - 2), at(i + 1)
-        p1 = F.when((i < 1) | _is_end(p1), F.lit("^")).otherwise(p1)
-        p2 = F.when((i < 2) | (p1 == "^") | _is_end(p2), F.lit("^")).otherwise(p2)
-        return F.struct(p2.alias("prev2"), p1.alias("prev1"), at(i).alias("word"), F.when(n.isNull() | n.rlike(r"^(…|\.\.)"), "end").when(_is_end(n), "stop").otherwise("word").alias("next"))
-
-    rows = docs.where("size(tokens) > 0").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), gram)).alias("g")).select("g.*")
-    return rows.where(~_is_end(F.col("word")))
+    t, edge = F.col("tokens"), F.lit("^")
+    # The tokens beside themselves, shifted; what lies before a sentence's start becomes an edge afterwards.
+    shifted = F.arrays_zip(F.concat(F.array(edge, edge), t).alias("p2"), F.concat(F.array(edge), t).alias("p1"), t.alias("word"), F.slice(t, 2, 1 << 30).alias("n"))
+    rows = docs.where("size(tokens) > 0").select(F.inline(shifted)).where(F.col("word").isNotNull() & ~_is_end(F.col("word")))
+    p1 = F.when(_is_end(F.col("p1")), edge).otherwise(F.col("p1"))
+    p2 = F.when(_is_end(F.col("p2")) | (p1 == edge), edge).otherwise(F.col("p2"))
+    n = F.col("n")
+    return rows.select(p2.alias("prev2"), p1.alias("prev1"), "word", F.when(n.isNull() | (n == "…"), "end").when(n == ".", "stop").otherwise("word").alias("next"))
 
 
 def limits(docs: DataFrame) -> DataFrame:
@@ -73,12 +72,12 @@ def judge(documents: DataFrame) -> DataFrame:
     merely lacks its full stop is not cut; one that ends in dots is only cut if they stand in a broken word or at a field
     limit. A null source is a source of its own. doc_id must be unique; an empty table gives an empty table."""
     text = F.col("text")
-    tail = F.rtrim(F.regexp_replace(text, r"\s+$", ""))
+    tail = F.rtrim(text, F.lit(_BLANKS))
     docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    docs = docs.withColumn("tail", F.substring(tail, F.length(tail) - 399, 400)).withColumn("tokens", _tokens(text))
-    ended = F.col("tail").rlike(_END) & ~F.col("tail").rlike(_DOTS)
+    docs = docs.withColumn("tail", F.right(tail, F.lit(400))).withColumn("last", F.right(F.col("tail"), F.lit(24)))
+    ended = F.col("last").rlike(_END) & ~F.col("last").rlike(_DOTS)
     docs = docs.withColumn("open", F.coalesce(~ended & (F.length("tail") > 0), F.lit(False)))
-    g = grams(docs)
+    g = grams(docs.select(_tokens(text).alias("tokens")))
     # One pass over the tokens; all tables below come from these counts.
     counts = checkpointed(
         g.groupBy("prev2", "prev1", "word").agg(F.count_if(F.col("next") == "word").alias("mid"), F.count_if(F.col("next") == "stop").alias("stop"), F.count_if(F.col("next") == "end").alias("end"))
@@ -96,7 +95,7 @@ def judge(documents: DataFrame) -> DataFrame:
 
     # Candidates: texts without an end mark; dots are taken off, they may stand for a cut.
     bare = F.regexp_replace(F.regexp_replace(F.col("tail"), _DOTS, ""), r"\s+$", "")
-    cand = docs.where("open").select("doc_id", "source", "text", bare.alias("bare"), F.col("tail").rlike(_DOTS).alias("dots"), F.col("tail").rlike(_BROKEN).alias("broken"))
+    cand = docs.where("open").select("doc_id", "source", "text", bare.alias("bare"), F.col("last").rlike(_DOTS).alias("dots"), F.col("last").rlike(_BROKEN).alias("broken"))
     mine = _tokens(F.col("bare"))
     cand = cand.withColumn("t", F.slice(F.concat(F.array(F.lit("."), F.lit(".")), mine), -3, 3))
     x = lambda i: F.get("t", F.lit(i))
