@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..inference import answers
+from ..inference import answers, elements
 from ..operators import chunks, entities, sections, structure
 from ..sinks import documents as sinks
 from ..sources.tables import table
@@ -490,6 +490,27 @@ def answer_confidence(spark, d):
     return rows.select("infer_id", answers.confidence(doc).alias("confidence"))
 
 
+_HITS = "SELECT doc_id, " + ", ".join("(" + " + ".join(f"bool_or(contains(lower(coalesce(raw_text, '')), '{w}'))::INT" for w in words) + f") AS {k}" for k, words in elements.KEYWORDS.items()) + " FROM p GROUP BY doc_id"
+_MOST = "greatest(" + ", ".join(elements.KEYWORDS) + ")"
+
+
+@query(f"WITH {_PAGES}, h AS ({_HITS}) SELECT doc_id, CASE WHEN {_MOST} = 0 THEN NULL " + " ".join(f"WHEN {k} = {_MOST} THEN '{k}'" for k in elements.KEYWORDS) + f" END AS document_type, CAST({_MOST} AS INTEGER) AS hits FROM h")
+def doc_type_keywords(spark, d):
+    return elements.keyword_type(_pages(spark, d))
+
+
+@query(
+    f"WITH {_TABLES}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY table_no) - 1 AS idx FROM t) "
+    "SELECT doc_id, page, 'table_v_' || page || '_' || idx AS id, array_to_string(columns, ' | ') AS header, CAST(len(data) AS INTEGER) AS n_rows, coalesce(array_to_string(list_transform(data, lambda r: array_to_string(r, ' | ')), ' ; '), '') AS body FROM i"
+)
+def answered_tables(spark, d):
+    """Tables of chunks, written as a model would answer and read back."""
+    t = structure.tables(_chunk_pages(spark, d)).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("table_no", F.col("columns").alias("headers"), "data"))).alias("tables"))
+    a = t.select("doc_id", "page", F.concat(F.lit("```json\n"), F.to_json(F.struct("tables")), F.lit("\n```")).alias("answer"))
+    got = elements.tables(elements.read_pages(a))
+    return got.select("doc_id", "page", "id", F.array_join("columns", " | ").alias("header"), F.size("data").alias("n_rows"), F.array_join(F.transform("data", lambda r: F.array_join(r, " | ")), " ; ").alias("body"))
+
+
 # Sinks ------------------------------------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.inference import answers
+from folioflow.inference import answers, elements
 from folioflow.operators import chunks, entities, sections, structure
 from folioflow.plans import pipeline
 from folioflow.sinks import documents
@@ -249,6 +249,32 @@ def test_backends(spark):
     assert [r.answer for r in answers.ask(df, F.col("p"), answers.silent).collect()] == [None] * 3
 
 
+def test_elements_of_answers(spark):
+    page = {"content": "x", "tables": [{"title": "T", "headers": ["a", "b"], "data": [["1", 2], [None, "3"]]}, None], "figures": [{"caption": "c", "description": "", "alt_text": "alt"}], "equations": [{"latex": "E", "label": None, "is_inline": True}, {}]}
+    rows = [("d", 2, f"```json\n{json.dumps(page)}\n```"), ("d", 3, "no object"), ("d", 4, None), ("d", 5, "{cut"), ("d", 6, "{}")]
+    got = elements.read_pages(spark.createDataFrame(rows, "doc_id string, page int, answer string"))
+    t = elements.tables(got).collect()
+    assert [(r.id, r.title, r.columns, r.data, r.has_merged_cells) for r in t] == [("table_v_2_0", "T", ["a", "b"], [["1", "2"], [None, "3"]], False)]
+    assert [(r.id, r.alt_text, r.figure_type, r.confidence) for r in elements.figures(got).collect()] == [("fig_v_2_0", "alt", "other", 0.85)]
+    assert [(r.id, r.latex, r.is_inline) for r in elements.equations(got).collect()] == [("eq_v_2_0", "E", True), ("eq_v_2_1", "", False)]
+    a = spark.createDataFrame([("d", "x", 1), ("d", "y", 1)], "doc_id string, id string, page int")
+    b = spark.createDataFrame([("d", "y", 2, "m"), ("e", "x", 3, "n")], "doc_id string, id string, page int, extra string")
+    assert sorted((r.doc_id, r.id, r.page, r.extra or "") for r in elements.united(a, b).collect()) == [("d", "x", 1, ""), ("d", "y", 1, ""), ("e", "x", 3, "n")]
+
+
+def test_entities_of_answers(spark):
+    full = {"people": [{"name": "A", "role": None}, {"role": "x"}, {"name": ""}], "dates": [{"original": "1/1/20"}, {}], "monetary_values": [{"original": "R$ 1", "value": 1}], "technical_terms": ["t"]}
+    df = spark.createDataFrame([(1, json.dumps(full)), (2, "nothing"), (3, None)], "doc_id int, answer string")
+    got = {r.doc_id: r for r in elements.read_entities(df).collect()}
+    assert [p.name for p in got[1].people] == ["A"] and [x.original for x in got[1].dates] == ["1/1/20"] and got[1].monetary_values[0].value == 1.0 and got[1].technical_terms == ["t"]
+    assert all(got[k].people == [] and got[k].technical_terms == [] for k in (2, 3))
+
+
+def test_kind_by_words(spark):
+    df = spark.createDataFrame([("a", 1, "A Cláusula do contrato"), ("a", 2, "e a CONTRATANTE"), ("b", 1, None), ("c", 1, "conclusão")], PAGE)
+    assert {r.doc_id: (r.document_type, r.hits) for r in elements.keyword_type(df).collect()} == {"a": ("contrato", 3), "b": (None, 0), "c": ("relatorio", 1)}
+
+
 # Files -----------------------------------------------------------------------------------------------------------------
 
 
