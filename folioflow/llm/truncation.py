@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.runtime import checkpointed
+from ..plans.runtime import checkpointed, settled
 
 #: Different unfinished texts of one length that a source needs for a field limit, their least share of the source's
 #: unfinished texts, and how many times the mean of the lengths within NEAR around it.
@@ -95,16 +95,17 @@ def judge(documents: DataFrame) -> DataFrame:
 
     # Candidates: texts without an end mark; dots are taken off, they may stand for a cut.
     bare = F.regexp_replace(F.regexp_replace(F.col("tail"), _DOTS, ""), r"\s+$", "")
-    cand = docs.where("open").select("doc_id", "source", "text", bare.alias("bare"), F.col("last").rlike(_DOTS).alias("dots"), F.col("last").rlike(_BROKEN).alias("broken"))
+    cand = docs.where("open").select("doc_id", "source", F.length("text").alias("length"), F.octet_length("text").alias("octets"), bare.alias("bare"), F.col("last").rlike(_DOTS).alias("dots"), F.col("last").rlike(_BROKEN).alias("broken"))
     mine = _tokens(F.col("bare"))
     cand = cand.withColumn("t", F.slice(F.concat(F.array(F.lit("."), F.lit(".")), mine), -3, 3))
     x = lambda i: F.get("t", F.lit(i))
     p1 = F.when(_is_end(x(1)), F.lit("^")).otherwise(x(1))
     cand = cand.select(
-        "doc_id", "source", "text", "dots", "broken",
+        "doc_id", "source", "length", "octets", "dots", "broken",
         x(2).alias("word"), p1.alias("prev1"), F.when(_is_end(x(1)) | _is_end(x(0)), F.lit("^")).otherwise(x(0)).alias("prev2"),
         F.col("bare").rlike(r"\p{L}\p{M}*$").alias("letter"), F.col("bare").rlike(_OPEN).alias("hanging"),
     )
+    cand = checkpointed(settled(cand))  # short rows, read again below
     # Each distinct tail is looked up once, so that a tail shared by a third of all texts is one row.
     tails = cand.select("prev2", "prev1", "word").distinct()
     tails = tails.join(three.select("prev2", "prev1", "word", F.col("n").alias("n3"), F.col("stop").alias("stop3"), F.col("end").alias("end3")), ["prev2", "prev1", "word"], "left")
@@ -128,7 +129,6 @@ def judge(documents: DataFrame) -> DataFrame:
     known = limits(docs.select("source", "text", "open"))
     chars = known.where("unit = 'chars'").select("source", "length", F.lit(True).alias("at_chars"))
     octets = known.where("unit = 'bytes'").select("source", F.col("length").alias("octets"), F.lit(True).alias("at_bytes"))
-    cand = cand.withColumns({"length": F.length("text"), "octets": F.octet_length("text")}).drop("text")
     cand = cand.join(chars, ["source", "length"], "left").join(octets, ["source", "octets"], "left")
     at_limit = F.coalesce("at_chars", "at_bytes", F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
