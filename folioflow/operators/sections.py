@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.runtime import checkpointed
 from .structure import PAGE
 
 LEVELS = 6
@@ -29,7 +30,8 @@ def sections(heads: DataFrame, paras: DataFrame, tables: DataFrame) -> DataFrame
     Every heading gets all paragraphs of its page. Files without headings but with paragraphs get one section
     `Documento` with all of them. A level is at most 6, so ancestors are joined at most five times."""
     tree = parents(heads.select(*PAGE, "seq", "text", "level"))
-    tree = tree.select(*PAGE, "seq", F.col("text").alias("title"), "level", "parent_seq")
+    # Written once: the ancestors are joined from it again and again, and it holds headings only.
+    tree = checkpointed(tree.select(*PAGE, "seq", F.col("text").alias("title"), "level", "parent_seq"))
     here = tree.select(*tree.columns, F.col("parent_seq").alias("_up"), F.array("seq").alias("path"), F.array("title").alias("titles"))
     links = tree.select("doc_id", F.col("seq").alias("_up"), F.col("title").alias("_title"), F.col("parent_seq").alias("_next"))
     for _ in range(LEVELS - 1):

@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.runtime import settled
 
 #: A block without font is read in these sizes; a heading's font is this many times the body's.
 BODY, RATIO = 12.0, 1.2
@@ -46,7 +47,8 @@ def level(body: float = BODY, threshold: float | None = None) -> Column:
 def classify(block: DataFrame, body: float = BODY, threshold: float | None = None) -> DataFrame:
     """Non-blank blocks with `level`, `list_type` and `kind`: heading before list before text."""
     named = block.where(X.strip("text") != "").withColumns({"level": level(body, threshold), "list_type": X.list_type("text")})
-    return named.withColumn("kind", F.when(F.col("level").isNotNull(), "heading").when(F.col("list_type").isNotNull(), "list").otherwise("text"))
+    kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("list_type").isNotNull(), "list").otherwise("text")
+    return settled(named).withColumn("kind", kind)
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
