@@ -86,19 +86,20 @@ def _masked(line: str) -> str:
     return re.sub(r"(?<![^\W\d_])\d+(?![^\W\d_])", "#", line)
 
 
-#: Words that a line of furniture has at most.
-MOST_WORDS = 9
+#: Words that a part of a line of furniture has at most.
+MOST_WORDS = 12
 
 
-def furniture_like(s: str) -> bool:
-    """Whether a stripped line could be furniture at all: short, and nothing in it ends or parts a sentence."""
-    if not s or len(s) > 90 or ", " in s or s.count(" ") >= MOST_WORDS * 2 or "; " in s or ": " in s or "! " in s or "? " in s:
+def furniture_like(s: str, last: bool = True) -> bool:
+    """Whether a stripped part of a line could be furniture at all: short, and nothing in it ends or parts a sentence.
+    last: whether the line ends with it; another part may end with a full stop or a hyphen."""
+    if not s or len(s) > 90 or ", " in s or "; " in s or ": " in s or "! " in s or "? " in s:
         return False
     end, before = s[-1], s[-2:-1]
-    if end in ".,;:!?":
+    if end in (".,;:!?" if last else ",;:!?"):
         if before and before not in ". " and not before.isdigit():
             return False
-    elif end in _MARKS and before.isalpha():
+    elif last and end in _MARKS and before.isalpha():
         return False
     at = s.find(". ")
     while at >= 0:  # an abbreviation before a number parts no sentence
@@ -113,6 +114,12 @@ def segments(line: str) -> list[str]:
     return [s for s in re.split(r" {2,}|\t+", line.strip()) if s]
 
 
+def furniture_parts(s: str) -> list[str]:
+    """The parts of a stripped line at wide blanks; none if one of them could not be furniture."""
+    parts = segments(s) if "  " in s or "\t" in s else [s]
+    return parts if all(furniture_like(p, p is parts[-1]) for p in parts) else []
+
+
 # ---------------------------------------------------------------------------------------- automaton and trie
 
 
@@ -206,9 +213,7 @@ def statistics(pages: DataFrame) -> DataFrame:
                 words.update(tokenise(text.lower()))
                 number = page or 0
                 for line in _edges(text):
-                    if not furniture_like(line):
-                        continue
-                    for s in segments(line) if "  " in line or "\t" in line else (line,):
+                    for s in furniture_parts(line):
                         seen = edges.setdefault((doc, _number_key(s, page) or skeleton(s)), [number, number])
                         seen[0], seen[1] = min(seen[0], number), max(seen[1], number)
             joined: Counter = Counter()
@@ -342,9 +347,9 @@ class Reader:
         ask: list[tuple[int, list[str]]] = []
         for i in full:
             s = lines[i].strip()
-            if (i not in edge and "  " not in s and s.count(" ") > self.spaces) or not furniture_like(s):
+            if (i not in edge and "  " not in s and s.count(" ") > self.spaces) or not (split := furniture_parts(s)):
                 continue
-            parts = [self.part(p) for p in (segments(s) if "  " in s or "\t" in s else (s,))]
+            parts = [self.part(p) for p in split]
             bares, ok = parts.count(BARE), parts.count(SURE)
             open_keys = [k for k in parts if k not in (BARE, SURE)]
             if not open_keys and (ok or bares == 0):

@@ -252,6 +252,15 @@ def test_paragraphs(spark):
     assert ("n", 1, 1) not in text
 
 
+def test_page_number_beside_a_running_header(spark):
+    body = "a equipe revisou o contrato e a garantia do painel no anexo da obra"
+    foot = lambda n: f"Página {n} de 12   Processo administrativo 628 | Volume II"
+    rows = [(doc, n, "\n".join([*[body] * 9, "", foot(n) if n % 2 else "Conselho geral de revisão das obras do porto novo da cidade"])) for doc in "ab" for n in range(1, 7)]
+    got = {(r.doc_id, r.page): r.line_no for r in ocr.lines_to_repair(spark.createDataFrame(rows, "doc_id string, page int, raw_text string")).where("kind = 'furniture' and line_no = 11").collect()}
+    assert len(foot(1).split()) > 9 and set(got) == {(doc, n) for doc in "ab" for n in range(1, 7)}
+    assert ocr.furniture_parts("Proc. 2 vol.   p. 3") and not ocr.furniture_parts("Página 2   o contrato, a obra") and not ocr.furniture_parts("Página 2   a obra terminou.")
+
+
 # Cut texts -------------------------------------------------------------------------------------------------------------
 
 
