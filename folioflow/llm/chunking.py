@@ -74,14 +74,14 @@ class _Cohesion:
             self.depth += rise[way]
 
 
-def split(text: str, size: int | None = None, overlap: int | None = None) -> list[tuple[int, int]]:
+def cut(text: str, size: int | None = None, overlap: int | None = None) -> list[tuple[int, int]]:
     """Pieces (start, end) that cover the text in order, each of at most `size` tokens.
 
     Consecutive pieces share `overlap` tokens exactly (from a word's start if one lies within those code points); an
-    overlap of more than half the size is lowered to that half, else no piece could advance. Null takes the defaults; a
-    size below 1 counts as 1. A text within the limit, the empty one too, is one piece."""
+    overlap of the size or more is lowered to a token less than the size, else no piece could advance. Null takes the
+    defaults; a size below 1 counts as 1. A text within the limit, the empty one too, is one piece."""
     size = max(1, SIZE if size is None else size)
-    overlap = min(max(0, OVERLAP if overlap is None else overlap), size // 2)
+    overlap = min(max(0, OVERLAP if overlap is None else overlap), size - 1)
     n, longest = len(text), size * 4 + 3
     if n <= longest:
         return [(0, n)]
@@ -118,6 +118,12 @@ def split(text: str, size: int | None = None, overlap: int | None = None) -> lis
     return out
 
 
+def split(text: str, size: int | None = None, overlap: int | None = None) -> list[tuple[int, int]]:
+    """Pieces like those of cut(), with an overlap of at most half the size."""
+    size = max(1, SIZE if size is None else size)
+    return cut(text, size, min(OVERLAP if overlap is None else overlap, size // 2))
+
+
 def pieces(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """The pieces of every chunk larger than its request's chunk_size: doc_id, chunk_index, piece, start_pos (code point
     from 1), text, token_count.
@@ -138,7 +144,7 @@ def pieces(chunks: DataFrame, requests: DataFrame) -> DataFrame:
             at, no, starts, texts, counts = [], [], [], [], []
             cols = {name: batch.column(name) for name in batch.schema.names}
             for i, (text, limit, lap) in enumerate(zip(*[cols[c].to_pylist() for c in ("text", "size", "overlap")])):
-                for k, (a, z) in enumerate(split(text, limit, lap)):
+                for k, (a, z) in enumerate(cut(text, limit, lap)):
                     at.append(i)
                     no.append(k)
                     starts.append(a + 1)

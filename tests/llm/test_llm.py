@@ -131,6 +131,25 @@ def test_pieces_cover_and_keep_limits(text, size, overlap):
         assert (z - a2) // 4 == lap and z2 > z
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab c.\n,X é", max_size=900), st.integers(0, 60) | st.none(), st.integers(0, 80) | st.none())
+def test_cuts_share_the_whole_overlap(text, size, overlap):
+    parts = chunking.cut(text, size, overlap)
+    limit = max(1, 500 if size is None else size)
+    lap = min(50 if overlap is None else overlap, limit - 1)
+    assert parts[0][0] == 0 and parts[-1][1] == len(text) and all((z - a) // 4 <= limit for a, z in parts)
+    for (a, z), (a2, z2) in itertools.pairwise(parts):
+        assert (z - a2) // 4 == lap and a2 > a and z2 > z
+
+
+def test_pieces_share_more_than_half_the_size(spark):
+    chunk = spark.createDataFrame([("a", 1, 10, "The boiler heats water, and steam moves. " * 40)], "doc_id string, chunk_index int, request_id bigint, text string")
+    request = spark.createDataFrame([(10, 64, 50)], "request_id bigint, chunk_size int, chunk_overlap int")
+    got = sorted((r.piece, r.start_pos, len(r.text)) for r in chunking.pieces(chunk, request).collect())
+    assert len(got) > 10 and all(n // 4 <= 64 for *_, n in got)
+    assert {(a + n - a2) // 4 for (_, a, n), (_, a2, _) in itertools.pairwise(got)} == {50}
+
+
 def test_cuts_where_the_topic_ends():
     first = "The boiler heats water and the water moves steam through the boiler pipe. " * 6
     second = "Parliament voted the budget while ministers debated taxes in parliament. " * 6
