@@ -314,12 +314,10 @@ def fingerprints(df: DataFrame) -> DataFrame:
 
 
 def migrations(changed: DataFrame) -> DataFrame:
-    """Chained steps: for feed and file_no, which later names (`steps`: map of old path to last path) its fields get.
+    """Chained steps: for each feed its `log` of file_no, change, field and new_field, in the order of its files.
 
-    Only renames matter here and only a feed's change log is gathered, never its records."""
-    renamed = changed.where("change = 'renamed'").select("feed", "file_no", "field", "new_field")
-    log = renamed.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "field", "new_field"))).alias("log"))
-    return log
+    Only a feed's change log is gathered, never its records."""
+    return changed.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "change", "field", "new_field"))).alias("log"))
 
 
 def apply_steps(log: list, file_no: int, path: str) -> str:
@@ -330,35 +328,82 @@ def apply_steps(log: list, file_no: int, path: str) -> str:
     return path
 
 
+class _Steps:
+    """What a feed's steps do to the records of one of its files. Paths are without [], so a list and a single object,
+    which turn into each other, have the same."""
+
+    def __init__(self, log: list, fields: list, file_no: int):
+        renames = [(s["file_no"], _plain(s["field"]), _plain(s["new_field"])) for s in log if s["change"] == "renamed"]
+        self.renames = [r for r in renames if r[0] > file_no]
+        self.first = min((s["file_no"] for s in log if s["file_no"] > file_no), default=None)
+        last: dict[str, tuple[int, str]] = {}
+        for f in fields:
+            to = apply_steps(renames, f["file_no"], _plain(f["field"]))
+            last[to] = max(last.get(to, (-1, "")), (f["file_no"], f["kind"]))
+        self.kinds = {path: kind for path, (_, kind) in last.items()}
+        self.members: dict[str, list[str]] = {}
+        for path in sorted(last):
+            self.members.setdefault(_parent(path), []).append(path.rpartition(".")[2])
+
+    def record(self, record: dict) -> dict[str, str | None]:
+        return {k: _cast(v, self.kinds.get(k)) for k, v in self.members_of(record, "", "").items()}
+
+    def members_of(self, value: dict, path: str, to: str) -> dict:
+        """An object at `path`, which the steps move to `to`, with its members' last names and types; members that only
+        other files have are null."""
+        out: dict = {}
+        begin, end = (f"{path}.", f"{to}.") if path else ("", "")
+        for name, inner in value.items():
+            moved = apply_steps(self.renames, -1, begin + name)
+            key = name if moved == end + name else moved.rpartition(".")[2]
+            inner = self.moved(unwrap(inner), begin + name, end + key)
+            if out.get(key) is None:
+                out[key] = inner
+        return out | {k: None for k in self.members.get(to, ()) if k not in out}
+
+    def moved(self, value, path: str, to: str):
+        if to in self.members:  # else no step goes below
+            if isinstance(value, dict):
+                value = self.members_of(value, path, to)
+            elif isinstance(value, list):
+                value = [self.members_of(x, path, to) if isinstance(x, dict) else x for x in map(unwrap, value)]
+        return _typed(value, self.kinds.get(to)) if "." in to else value
+
+
+def _plain(path: str) -> str:
+    return path.replace("[].", ".")
+
+
 def consistent(df: DataFrame) -> DataFrame:
     """One table over all files: infer_id, feed, file_no, schema_from (the file's first step that applies, else null)
-    and `fields`, a map of the last name of each top-level field to its value as text. Defaults: fields that a file
-    lacks are absent keys; casts: numbers that another file writes as text with a decimal comma become plain numbers,
-    yes and no in words become booleans when the feed's last type is boolean, single objects and lists keep their JSON.
+    and `fields`, a map of the last name of each top-level field to its value as text.
+
+    Every step of the feed after a record's file applies to it, also to members of objects and of objects in arrays, as
+    deep as changes() looks. Renamed: the last name. Added and removed: every record has every field of its feed, null
+    where its file has none, for the tables declare no other default; what was removed is kept. Type changed: numbers
+    written as text, with a decimal comma too, become plain numbers, yes and no in words booleans, a single value a
+    list, other values text, as the feed's last type wants; what cannot be cast stays.
 
     Records that cannot be read keep a row with null fields. Repeated rows count once."""
     log = migrations(changes(df))
-    last = profiles(df).where("n > 0 and instr(field, '.') = 0")
     top = F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
-    kinds = last.groupBy("feed", "field").agg(F.max_by(top, "file_no").alias("kind")).groupBy("feed").agg(F.map_from_entries(F.collect_list(F.struct("field", "kind"))).alias("kinds"))
+    last = profiles(df).where("n > 0").groupBy("feed", "field").agg(F.max_by(top, "file_no").alias("kind"), F.max("file_no").alias("file_no"))
+    kinds = last.groupBy("feed").agg(F.collect_list(F.struct("field", "kind", "file_no")).alias("kinds"))
     once = df.select("infer_id", "feed", "file_no", "fields").where("infer_id is not null").dropDuplicates(["infer_id"])
     joined = once.join(log.join(kinds, "feed", "full"), "feed", "left").select("infer_id", "feed", "file_no", "fields", "log", "kinds")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {"infer_id": [], "feed": [], "file_no": [], "schema_from": [], "fields": []}
-            for row in batch.to_pylist():
-                record = read_root(row["fields"].encode() if row["fields"] else None)
-                log, kinds = [(s["file_no"], s["field"], s["new_field"]) for s in row["log"] or []], dict(row["kinds"] or [])
-                no = row["file_no"] if row["file_no"] is not None else 1 << 30
-                later = [s[0] for s in log if s[0] > no]
-                values = None
-                if isinstance(record, dict):
-                    values = {}
-                    for name, value in record.items():
-                        to = apply_steps(log, no, name)
-                        values[to] = _cast(unwrap(value), kinds.get(to))
-                for k, v in (("infer_id", row["infer_id"]), ("feed", row["feed"]), ("file_no", row["file_no"]), ("schema_from", min(later, default=None)), ("fields", values and list(values.items()))):
+            steps: dict = {}
+            ids, feeds, files, texts = [batch.column(i).to_pylist() for i in range(4)]
+            for i, at in enumerate(zip(feeds, files)):
+                if at not in steps:
+                    log, kinds = [[x for x in batch.column(k)[i].as_py() or [] if x["file_no"] is not None] for k in (4, 5)]
+                    steps[at] = _Steps(log, kinds, at[1] if at[1] is not None else 1 << 30)
+                record = read_root(texts[i].encode() if texts[i] else None)
+                values = steps[at].record(record) if isinstance(record, dict) else None
+                for k, v in (("infer_id", ids[i]), ("feed", at[0]), ("file_no", at[1]), ("schema_from", steps[at].first), ("fields", None if values is None else list(values.items()))):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("infer_id", pa.int64()), ("feed", pa.string()), ("file_no", pa.int32()), ("schema_from", pa.int32()), ("fields", pa.map_(pa.string(), pa.string()))]))
 
@@ -371,6 +416,8 @@ _YES, _NO = {"sim", "true", "yes", "s", "y"}, {"não", "nao", "false", "no", "n"
 def _cast(value, kind: str | None) -> str | None:
     if value is None:
         return None
+    if kind == "array" and not isinstance(value, list):
+        value = [value]
     if isinstance(value, str):
         low = value.strip().lower()
         if kind == "number" and re.fullmatch(r"-?[\d.]*,\d+|-?\d+(\.\d+)?", low):
@@ -380,6 +427,21 @@ def _cast(value, kind: str | None) -> str | None:
         return value
     if isinstance(value, bool):
         return str(value).lower()
-    if kind == "array" and isinstance(value, dict):
-        value = [value]
     return json.dumps(value, ensure_ascii=False) if isinstance(value, dict | list) else str(value)
+
+
+def _typed(value, kind: str | None):
+    """A member's value in its last type, as _cast() gives it in text."""
+    if value is None or kind in (None, "object"):
+        return value
+    if kind == "array":
+        return value if isinstance(value, list) else [value]
+    if kind == "string":
+        return value if isinstance(value, str) else _cast(value, kind)
+    if isinstance(value, str):
+        text = _cast(value, kind)
+        if kind == "boolean" and text in ("true", "false"):
+            return text == "true"
+        if kind == "number" and re.fullmatch(r"-?\d{1,300}(\.\d+)?", text.strip()):
+            return float(text) if "." in text else int(text)
+    return value

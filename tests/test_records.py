@@ -134,6 +134,20 @@ def test_consistent_table_follows_renames(spark):
     assert len(set(prints.values())) == 3
 
 
+def test_consistent_table_follows_steps_of_members(spark):
+    f = lambda who, text, opts, n: [{"who": {"id": i, who: f"papel {i}"}, "items": [{text: f"a b {i}", opts: ["x", "y"], "n": n(i)}]} for i in range(5)]
+    new = [r | {"flag": True} for r in f("role_doc", "titulo_v2", "opcoes_doc", lambda i: i)]
+    df = _files(spark, (1, f("role", "titulo", "opcoes", lambda i: f"{i},5")), (2, f("role_doc", "titulo", "opcoesPrincipal", lambda i: f"{i},5")), (3, new), (4, [{"items": [{"titulo_v2": "a b 1"}], "who": {"id": 1}, "flag": None}]))
+    rows = drift.consistent(df).orderBy("infer_id").collect()
+    assert {r.file_no: r.schema_from for r in rows} == {1: 2, 2: 3, 3: 4, 4: None}
+    for r in rows:
+        items, who = json.loads(r.fields["items"]), json.loads(r.fields["who"])
+        assert set(r.fields) == {"items", "who", "flag"} and set(who) == {"id", "role_doc"} and set(items[0]) == {"titulo_v2", "opcoes_doc", "n"}, r
+    first = rows[1]
+    assert json.loads(first.fields["items"]) == [{"titulo_v2": "a b 1", "opcoes_doc": ["x", "y"], "n": 1.5}] and json.loads(first.fields["who"])["role_doc"] == "papel 1" and first.fields["flag"] is None
+    assert json.loads(rows[-1].fields["items"])[0]["n"] is None and rows[10].fields["flag"] == "true"
+
+
 def test_casts():
     assert drift._cast("1.234,56", "number") == "1234.56" and drift._cast("não", "boolean") == "false" and drift._cast({"a": 1}, "array") == '[{"a": 1}]' and drift._cast(None, "number") is None
 
