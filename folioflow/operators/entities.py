@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import MONTHS, WS
+from ..inference import elements
 
 DATE = r"(?U)\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})\b"
 DATE_WORDS = rf"(?iU)\b(\d{{1,2}})[{WS}]+de[{WS}]+({'|'.join(MONTHS)})[{WS}]+de[{WS}]+(\d{{4}})\b"
@@ -67,3 +68,23 @@ def merge(first: DataFrame, second: DataFrame, *keys: str, by: str = "original")
     """All rows of first, and those of second whose `by` first has not for the same keys. Null `by` matches nothing."""
     unseen = second.join(first.select(*keys, by).distinct(), [*keys, by], "left_anti")
     return first.withColumn("origin_rank", F.lit(1)).unionByName(unseen.withColumn("origin_rank", F.lit(2)), allowMissingColumns=True)
+
+
+def of_files(pages: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """doc_id and arrays people, organizations, locations, dates, monetary_values, technical_terms: dates and amounts by
+    pattern over a file's whole text, its pages two line breaks apart. answers (doc_id, answer, one a file): their
+    entities come first, then those by pattern whose original they lack; without them only patterns find any."""
+    pages = pages.select("doc_id", "page", F.coalesce("raw_text", F.lit("")).alias("t"))
+    text = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda p: p["t"]), "\n\n").alias("t"))
+    none = F.lit(None).cast("string").alias("context")
+    by = {"dates": F.transform(dates(F.col("t")), lambda e: F.struct(e["original"], e["normalized"], none)), "monetary_values": F.transform(money(F.col("t")), lambda e: F.struct(e["original"], e["value"], e["currency"], none))}
+    found = text.select("doc_id", *[v.alias(f"_{k}") for k, v in by.items()])
+    given = elements.read_entities(answers if answers is not None else text.select("doc_id", F.lit(None).cast("string").alias("answer")).limit(0))
+    rows = found.join(given, "doc_id", "left")
+    fields = {f.name: F.coalesce(f.name, F.from_json(F.lit("[]"), f.dataType)) for f in given.schema if f.name != "doc_id"}
+
+    def joined(first: Column, second: Column) -> Column:
+        return F.concat(first, F.filter(second, lambda e: ~F.array_contains(F.transform(first, lambda x: x["original"]), e["original"])))
+
+    fields |= {k: joined(fields[k], F.col(f"_{k}")) for k in by}
+    return rows.select("doc_id", *[v.alias(k) for k, v in fields.items()])

@@ -4,7 +4,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import chunks, sections, structure
+from ..operators import chunks, entities, sections, structure
 from ..sinks import documents
 
 
@@ -18,11 +18,13 @@ class Config:
     prefer_vision_for_tables: bool = False
     prefer_vision_for_equations: bool = False
     frontmatter: bool = True
+    extract_entities: bool = True
 
 
-def convert(pages: DataFrame, config: Config = Config(), blocks: DataFrame | None = None) -> dict[str, DataFrame]:
+def convert(pages: DataFrame, config: Config = Config(), blocks: DataFrame | None = None, answers: DataFrame | None = None, figures: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a corpus of pages (doc_id, page, raw_text). blocks: those with fonts and boxes, where a source gives
-    them; else the lines of raw_text."""
+    them; else the lines of raw_text. answers (doc_id, answer): a model's entities of the files, to which those by pattern
+    are added; figures: those of elements.figures()."""
     pages = structure.once(pages)
     block = structure.blocks(pages) if blocks is None else blocks
     classified = structure.classify(block)
@@ -31,9 +33,11 @@ def convert(pages: DataFrame, config: Config = Config(), blocks: DataFrame | Non
     tree = sections.sections(heads, paras, tables)
     meta, first, sure = sections.metadata(pages, heads), sections.summary(pages), sections.confidence(pages, heads, paras)
     pieces = chunks.generate(tree, tables, config.chunk_size, config.chunk_overlap, config.chunk_most)
+    mined = entities.of_files(pages, answers) if config.extract_entities else None
     return {
         "blocks": block, "headings": heads, "paragraphs": paras, "list_items": structure.list_items(classified), "tables": tables, "equations": equations, "footnotes": notes, "sections": tree,
         "routing": sections.routing(pages, classified, tables, equations, notes, paras, config.prefer_vision_for_tables, config.prefer_vision_for_equations),
         "metadata": meta, "summary": first, "confidence": sure, "chunks": pieces,
-        "markdown": documents.markdown(meta, tree, tables, first, notes, config.frontmatter), "json": documents.hybrid_json(meta, tree, tables, pieces, first, sure),
+        "markdown": documents.markdown(meta, tree, tables, first, notes, config.frontmatter), "json": documents.hybrid_json(meta, tree, tables, pieces, first, sure, entities=mined, figures=figures),
+        **({} if mined is None else {"entities": mined}),
     }

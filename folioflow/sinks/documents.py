@@ -52,8 +52,9 @@ def markdown(metadata: DataFrame, sections: DataFrame, tables: DataFrame, summar
     return rows.select("doc_id", F.array_join(F.array(*parts), "\n").alias("markdown"))
 
 
-def hybrid_json(metadata: DataFrame, sections: DataFrame, tables: DataFrame, chunks: DataFrame, summary: DataFrame, confidence: DataFrame, structured: DataFrame | None = None) -> DataFrame:
-    """doc_id, json: a fixed layer (metadata, content, processing info, chunks) and the inferred layer as given
+def hybrid_json(metadata: DataFrame, sections: DataFrame, tables: DataFrame, chunks: DataFrame, summary: DataFrame, confidence: DataFrame, structured: DataFrame | None = None, entities: DataFrame | None = None, figures: DataFrame | None = None) -> DataFrame:
+    """doc_id, json: a fixed layer (metadata, content with the figures given, entities, null if not extracted, processing
+    info, chunks) and the inferred layer as given
     (structured: doc_id, structured_data as JSON text) or a note that there is none. Sections are flat with parent_id
     and path, since no type nests without end; nulls are written."""
     full = {"ignoreNullFields": "false"}
@@ -63,11 +64,20 @@ def hybrid_json(metadata: DataFrame, sections: DataFrame, tables: DataFrame, chu
     t = tables.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_no", "id", "page", cols.alias("columns"), "data", "has_merged_cells", F.lit("text_extraction").alias("source"), "confidence"))).alias("tables"))
     c = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "id", "text", "token_count", "section_id", "section_title", "page", "has_table", "has_figure"))).alias("chunks"))
     rows = metadata
-    for other in (s, t, c, summary, confidence, *([structured] if structured is not None else [])):
+    others = [s, t, c, summary, confidence, *([structured] if structured is not None else [])]
+    if entities is not None:
+        others.append(entities.select("doc_id", F.struct(*[k for k in entities.columns if k != "doc_id"]).alias("entities")))
+    if figures is not None:
+        others.append(figures.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("page").alias("_page"), "id", "title", "caption", "alt_text", "figure_type", "page"))), lambda f: f.dropFields("_page")).alias("figures")))
+    for other in others:
         rows = rows.join(other, "doc_id", "left")
+    no_figures = F.from_json(F.lit("[]"), "array<struct<id:string,title:string,caption:string,alt_text:string,figure_type:string,page:int>>")
+    rows = rows.withColumn("figures", no_figures if figures is None else F.coalesce("figures", no_figures))
+    if entities is None:
+        rows = rows.withColumn("entities", F.lit(None).cast("string"))
     note = F.lit('{"_schema_inferred": false, "_document_type": "unknown", "_note": "Schema inference was disabled"}')
     inferred = F.parse_json(F.coalesce("structured_data", note) if structured is not None else note)
     meta = F.struct("doc_id", "title", F.lit("unknown").alias("document_type"), "language", "page_count")
-    content = F.struct("summary", "sections", "tables")
+    content = F.struct("summary", "sections", "tables", "figures")
     info = F.struct(F.round("confidence", 3).alias("overall_confidence"))
-    return rows.select("doc_id", F.to_json(F.struct(meta.alias("metadata"), content.alias("content"), info.alias("processing_info"), "chunks", inferred.alias("structured_data")), full).alias("json"))
+    return rows.select("doc_id", F.to_json(F.struct(meta.alias("metadata"), content.alias("content"), "entities", info.alias("processing_info"), "chunks", inferred.alias("structured_data")), full).alias("json"))

@@ -213,6 +213,17 @@ def test_entities(spark):
     assert merged == [(1, "", 1), (1, "a", 1), (1, "b", 2), (2, "a", 2)]
 
 
+def test_pipeline_mines_entities(spark):
+    df = spark.createDataFrame([("a", 1, "Assinado em 01/02/24 por R$ 1.234,56 e em 15 de"), ("a", 2, "março de 2024; 01/02/24"), ("b", 1, None)], PAGE)
+    answer = spark.createDataFrame([("a", json.dumps({"people": [{"name": "Ana"}], "dates": [{"original": "01/02/24", "context": "c"}]}))], "doc_id string, answer string")
+    figure = spark.createDataFrame([("a", 2, "fig_v_2_0", "t", "c", "alt", "other", 0.85)], "doc_id string, page int, id string, title string, caption string, alt_text string, figure_type string, confidence double")
+    plain = {r.doc_id: json.loads(r.json) for r in pipeline.convert(df)["json"].collect()}
+    assert [(e["original"], e["normalized"]) for e in plain["a"]["entities"]["dates"]] == [("01/02/24", "2024-02-01"), ("15 de\n\nmarço de 2024", "2024-03-15")]
+    assert [(e["original"], e["value"]) for e in plain["a"]["entities"]["monetary_values"]] == [("R$ 1.234,56", 1234.56)] and plain["b"]["entities"]["dates"] == [] == plain["a"]["content"]["figures"]
+    both = {r.doc_id: json.loads(r.json) for r in pipeline.convert(df, answers=answer, figures=figure)["json"].collect()}["a"]
+    assert both["entities"]["people"][0]["name"] == "Ana" and [(e["context"], e["original"][:2]) for e in both["entities"]["dates"]] == [("c", "01"), (None, "15")] and both["content"]["figures"][0]["id"] == "fig_v_2_0"
+
+
 # Answers ---------------------------------------------------------------------------------------------------------------
 
 ANSWERS = [
