@@ -33,7 +33,7 @@ def blocks(pages: DataFrame) -> DataFrame:
     return lines.select("*", box.alias("bbox"), none.cast("string").alias("font_name"), none.cast("double").alias("font_size"), none.cast("boolean").alias("is_bold"), none.cast("boolean").alias("is_italic"))
 
 
-def level(body: float = BODY, threshold: float | None = None) -> Column:
+def level(body: float | Column = BODY, threshold: float | Column | None = None) -> Column:
     """Heading level of a block by its text, then its font, then boldness; null for none."""
     size, text = F.col("font_size"), X.strip("text")
     ratio = size / F.lit(body)
@@ -44,7 +44,7 @@ def level(body: float = BODY, threshold: float | None = None) -> Column:
     return F.coalesce(X.heading_level("text"), by_size, at_size, bold)
 
 
-def classify(block: DataFrame, body: float = BODY, threshold: float | None = None) -> DataFrame:
+def classify(block: DataFrame, body: float | Column = BODY, threshold: float | Column | None = None) -> DataFrame:
     """Non-blank blocks with `level`, `list_type` and `kind`: heading before list before text."""
     named = block.where(X.strip("text") != "").withColumns({"level": level(body, threshold), "list_type": X.list_type("text")})
     kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("list_type").isNotNull(), "list").otherwise("text")
@@ -159,3 +159,12 @@ def calibrate(sizes: DataFrame, key: str = "doc_id", size: str = "font_size", po
     counts = sizes.groupBy(key, F.round(size, 1).alias("size")).agg(F.count(size).alias("n"), F.min(pos).alias("first"))
     best = counts.groupBy(key).agg(F.max_by(F.when(F.col("n") > 0, F.col("size")), F.struct("n", -F.col("first"), -F.col("size"))).alias("body"))
     return best.select(key, F.coalesce("body", F.lit(BODY)).alias("body"), F.coalesce(F.col("body") * RATIO, F.lit(14.0)).alias("threshold"))
+
+
+def classify_calibrated(block: DataFrame) -> DataFrame:
+    """classify() by the body size and threshold of each file's own fonts."""
+    pos = F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("block_idx")
+    fonts = calibrate(block.where(X.strip("text") != "").select("doc_id", "font_size", pos.alias("pos")))
+    body, threshold = fonts["body"].alias("_body"), fonts["threshold"].alias("_threshold")
+    with_fonts = block.join(fonts.select("doc_id", body, threshold), "doc_id", "left")
+    return classify(with_fonts, F.coalesce("_body", F.lit(BODY)), F.coalesce("_threshold", F.lit(BODY * RATIO))).drop("_body", "_threshold")

@@ -27,7 +27,7 @@ def convert(pages: DataFrame, config: Config = Config(), blocks: DataFrame | Non
     are added; figures: those of elements.figures()."""
     pages = structure.once(pages)
     block = structure.blocks(pages) if blocks is None else blocks
-    classified = structure.classify(block)
+    classified = structure.classify(block) if blocks is None else structure.classify_calibrated(block)  # lines have no fonts
     heads, paras = structure.headings(classified), structure.paragraphs(classified)
     tables, equations, notes = structure.tables(pages), structure.equations(pages), structure.footnotes(block)
     tree = sections.sections(heads, paras, tables)

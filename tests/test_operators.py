@@ -64,6 +64,16 @@ def test_headings_by_font(spark):
     assert got == {"a": (12.0, 12.0 * 1.2), "b": (12.0, 14.0)}
 
 
+def test_headings_by_the_fonts_of_each_file(spark):
+    sizes = {"big": [22.0, 15.0, 15.0, 15.0], "small": [13.0, 9.0, 9.0, 9.0], "none": [None, None]}
+    rows = [(d, 1, i, f"texto corrido {i}", s, False) for d, every in sizes.items() for i, s in enumerate(every)]
+    block = spark.createDataFrame(rows, "doc_id string, page int, block_idx int, text string, font_size double, is_bold boolean")
+    block = block.withColumn("bbox", F.expr("named_struct('x0', 0d, 'y0', block_idx * 17d, 'x1', 500d, 'y1', block_idx * 17d + 12d, 'page', page)"))
+    page = spark.createDataFrame([(d, 1, "x") for d in sizes], PAGE)
+    got = {(r.doc_id, r.block_idx): r.level for r in pipeline.convert(page, blocks=block)["headings"].collect()}
+    assert got == {("big", 0): 3, ("small", 0): 3}
+
+
 def test_large_tables_and_separators(spark):
     lines = ["h1\th2\th3", *[f"{i}\tx\t" for i in range(25)]]
     df = spark.createDataFrame([("a", 1, "\n".join(lines)), ("b", 1, "x  y  z  w\n1  2  3  4\nend"), ("c", 1, "a|b|c\nno\n|||\n|||")], PAGE)
