@@ -118,26 +118,23 @@ def cut(text: str, size: int | None = None, overlap: int | None = None) -> list[
     return out
 
 
-def split(text: str, size: int | None = None, overlap: int | None = None) -> list[tuple[int, int]]:
-    """Pieces like those of cut(), with an overlap of at most half the size."""
-    size = max(1, SIZE if size is None else size)
-    return cut(text, size, min(OVERLAP if overlap is None else overlap, size // 2))
-
-
 def pieces(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     """The pieces of every chunk larger than its request's chunk_size: doc_id, chunk_index, piece, start_pos (code point
     from 1), text, token_count.
 
     chunks: doc_id, chunk_index, request_id, text; requests: request_id, chunk_size, chunk_overlap; other columns are
     ignored. Null limits, or a request that isn't there, mean the defaults. Chunks within the limit, null and empty
-    texts give none. Repeated rows count once. Texts that fit the smallest limit of all requests are filtered before
-    the join; the join is by request and not broadcast, so a hot request is split at run time."""
+    texts give none. Repeated rows count once. Keys and lengths alone meet the requests, so a request with a third of all
+    chunks moves some bytes a chunk; the texts that are too long are fetched by their own key, which no request skews.
+    Texts that fit the smallest limit of all requests never move."""
     limits = requests.select("request_id", F.coalesce("chunk_size", F.lit(SIZE)).alias("size"), F.coalesce("chunk_overlap", F.lit(OVERLAP)).alias("overlap")).where("request_id is not null").dropDuplicates(["request_id"])
-    least = requests.agg(F.least(F.min("chunk_size"), F.lit(SIZE)).alias("least"))
+    least = requests.agg(F.least(F.min("chunk_size"), F.lit(SIZE)).alias("least")).scalar()
     size = F.floor(F.length("text") / 4)
-    long = chunks.select("doc_id", "chunk_index", "request_id", "text").where(size > least.scalar())
-    over = long.join(limits, "request_id", "left").fillna({"size": SIZE, "overlap": OVERLAP}).where(size > F.col("size"))
-    over = over.drop("request_id").dropDuplicates(["doc_id", "chunk_index"])
+    long = chunks.select("doc_id", "chunk_index", "request_id", "text", size.alias("tokens")).where(size > least)
+    told = long.select("doc_id", "chunk_index", "request_id", "tokens").join(limits, "request_id", "left").fillna({"size": SIZE, "overlap": OVERLAP}).where(F.col("tokens") > F.col("size"))
+    told = told.groupBy(F.col("doc_id").alias("_doc"), F.col("chunk_index").alias("_no")).agg(F.min_by(F.struct("size", "overlap"), F.struct("size", "overlap")).alias("limit"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("chunk_index").eqNullSafe(F.col("_no"))
+    over = long.join(told, same).dropDuplicates(["doc_id", "chunk_index"]).select("doc_id", "chunk_index", "text", "limit.size", "limit.overlap")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -20,9 +20,10 @@ from ..plans.runtime import checkpointed
 CAPACITY = 1024
 #: A combination may leave this share of the capacity unused.
 WINDOW = 0.01
-#: Parts that the items of one length are ranked in, so that a length of a third of all items is no single task.
-SALTS = 64
-#: Combinations kept for each leading length, and steps of the least squares.
+#: Items that are ranked in one group; a more frequent length is ranked in as many groups as it needs.
+GROUP = 500_000
+#: Combinations offered for each length and number of times it leads, spread over all second lengths that fit; and steps
+#: of the least squares.
 KEPT, STEPS = 40, 400
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times), ...), repeats
@@ -30,11 +31,10 @@ Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # ((length, times), ...),
 
 def combinations(counts: np.ndarray, capacity: int, window: int) -> list[tuple[tuple[int, int], ...]]:
     """Up to three different lengths, each some times, that fill capacity less at most window."""
-    lengths = np.flatnonzero(counts).tolist()
-    have = set(lengths)
+    lengths = np.flatnonzero(counts)
+    have = counts > 0
     out: dict[tuple, None] = {}
-    for a in lengths:
-        kept = 0
+    for a in lengths.tolist():
         most = min(capacity // a, int(counts[a]))
         for k in sorted({most, max(1, most // 2), max(1, most // 3), 1, 2, 3}, reverse=True):
             if k > most:
@@ -42,23 +42,16 @@ def combinations(counts: np.ndarray, capacity: int, window: int) -> list[tuple[t
             rest = capacity - k * a
             if rest <= window:
                 out[((a, k),)] = None
-                kept += 1
                 continue
-            for b in lengths:
-                if b >= a or b > rest:
-                    break
-                m = min(rest // b, int(counts[b]))
-                left = rest - m * b
-                if left <= window:
-                    out[((a, k), (b, m))] = None
-                    kept += 1
-                elif left in have and left not in (a, b):
-                    out[((a, k), (b, m), (left, 1))] = None
-                    kept += 1
-                if kept >= KEPT * 6:
-                    break
-            if kept >= KEPT * 6:
-                break
+            b = lengths[(lengths < a) & (lengths <= rest)]
+            times = np.minimum(rest // b, counts[b])
+            left = rest - times * b
+            third = (left > window) & have[left] & (left != a) & (left != b)
+            fit = np.flatnonzero((left <= window) | third)
+            if len(fit) > KEPT:
+                fit = fit[np.linspace(0, len(fit) - 1, KEPT).astype(int)]
+            for x, m, r, more in zip(b[fit].tolist(), times[fit].tolist(), left[fit].tolist(), third[fit].tolist()):
+                out[((a, k), (x, m), (r, 1)) if more else ((a, k), (x, m))] = None
     return list(out)
 
 
@@ -154,26 +147,36 @@ def pack(items: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
     spread over the containers. Items with the same key are different items. Containers are numbered from 0 without
     gaps. An empty table gives an empty table.
 
-    The sizes are written once; at most capacity + 1 counts come to the driver and the plan goes back to the tasks."""
+    The sizes are written once. The driver gets capacity + 1 counts and then one count for each group of ranks (one more
+    for every GROUP items); the plan goes back to the tasks. Which of several items of one length goes where depends on
+    how the input is partitioned."""
     sized = items.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / capacity)).cast("int"))).alias("part")
     parts = sized.select("key", "size", start).select("key", "part", F.least(F.lit(capacity), F.col("size") - F.col("part") * F.lit(capacity).cast("bigint")).cast("int").alias("length"))
-    salt = F.pmod(F.xxhash64("key", "part"), F.lit(SALTS)).cast("int")
-    parts = checkpointed(parts.withColumn("salt", salt))
-    cells = parts.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    grid = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, s, n in cells.collect():  # at most (capacity + 1) * SALTS rows
-        grid[length, s] = n
-    counts = grid.sum(1)
+    # Numbered before it is written: rows with one key, or none, still part into groups.
+    parts = checkpointed(parts.withColumn("id", F.monotonically_increasing_id()))
+    counts = np.zeros(capacity + 1, np.int64)
+    for length, n in parts.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity + 1 rows
+        counts[length] = n
+    groups = np.maximum(1, -(-counts // GROUP))
+    many = F.get(F.array(*[F.lit(int(g)) for g in groups]), F.col("length")) if groups.max() > 1 else F.lit(1)
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("id"), many).cast("int"))
+    first = np.concatenate(([0], np.cumsum(groups)))
+    before = np.zeros(int(first[-1]), np.int64)
+    if groups.max() > 1:
+        held = np.zeros(len(before), np.int64)
+        for length, s, n in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect():  # a row per group
+            held[first[length] + s] = n
+        for a, z in zip(first[:-1], first[1:]):
+            before[a:z] = np.cumsum(held[a:z]) - held[a:z]
     keys, times, firsts, total = place(plan(counts, capacity))
-    before = np.cumsum(grid, 1) - grid
-    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("key", "part")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("length", "salt").orderBy("id")) - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             name, part, length, s, rank = (batch.column(i) for i in range(5))
             n, r = length.to_numpy(), rank.to_numpy().astype(np.int64)
-            r = r + before[n, s.to_numpy()]
+            r = r + before[first[n] + s.to_numpy()]
             full = n > 0
             at = np.maximum(np.searchsorted(keys, (n.astype(np.int64) << 40) | r, "right") - 1, 0)
             box = r % max(1, total)

@@ -12,7 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary files are, unless the caller says so.
@@ -93,7 +95,6 @@ class PerfectHash:
                         self.slot[spots[hit]] = own
                         break
                     seed += 64
-        self.prints = prints
 
     def find(self, texts: pa.Array) -> np.ndarray:
         """The index of each text among the keys, -1 for others."""
@@ -103,7 +104,9 @@ class PerfectHash:
             p = fingerprints(texts)
             spot = (_mix(p, self.seed[(p % np.uint64(self.buckets)).astype(np.int64)]) % np.uint64(self.n)).astype(np.int64)
         at = self.slot[spot]
-        return np.where(self.prints[at] == p, at, -1)
+        # The print picks the only key that it can be; the bytes decide.
+        same = pc.equal(self.keys.take(pa.array(at)), texts.cast(pa.large_binary())).fill_null(False).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
 
 
 class Encoder:
@@ -177,8 +180,9 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(folder: str = FOLDER, vocabulary: str = VOCABULARY) -> Encoder:
-    """One per worker process; every executor needs the vocabulary's folder."""
-    return Encoder(load(os.path.join(folder, vocabulary)))
+    """One per worker process. Executors without the vocabulary's folder read the copy that SparkContext.addFile() gave them."""
+    path = os.path.join(folder, vocabulary)
+    return Encoder(load(path if os.path.exists(path) else SparkFiles.get(vocabulary)))
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:

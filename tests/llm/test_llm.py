@@ -53,6 +53,8 @@ def test_perfect_hash_is_minimal_and_exact():
     h = tokenizer.PerfectHash(keys)
     assert sorted(h.slot.tolist()) == list(range(len(keys)))
     assert h.find(pa.array(keys, pa.large_binary())).tolist() == list(range(len(keys)))
+    h.keys = pa.array([b"\xff" + k for k in keys], pa.large_binary())  # keys of the same prints, but other bytes
+    assert set(h.find(pa.array(keys, pa.large_binary())).tolist()) == {-1}
     assert set(h.find(pa.array([b"nope", b"xyz", b"longer keys"], pa.large_binary())).tolist()) == {-1}
 
 
@@ -97,6 +99,20 @@ def test_nnls_finds_the_exact_repeats():
     assert np.allclose(packing.nnls(columns, target), [10, 7, 2], atol=0.1)
 
 
+def test_second_lengths_are_spread_over_all_that_fit():
+    counts = np.ones(1025, np.int64)
+    counts[0] = 0
+    pairs = [c for c in packing.combinations(counts, 1024, 10) if c[0] == (700, 1)]
+    assert max(c[1][0] for c in pairs) == 324 and len(pairs) <= packing.KEPT
+
+
+def test_pack_ranks_a_hot_length_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 50)
+    df = spark.range(1000).select(F.lit(None).cast("bigint").alias("doc_id"), F.when(F.col("id") < 700, 40).otherwise(F.col("id") % 37 + 3).cast("int").alias("n_tokens"))
+    got = packing.pack(df, capacity=100).groupBy("container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
+    assert max(r.n for r in got) <= 100 and sum(r.k for r in got) == 1000 and {r.container for r in got} == set(range(len(got)))
+
+
 def test_pack_frames(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([7, 7, 7, 20, 33, 50, 99]), "x") for i in range(3000)] + [(9001, 250, "x"), (9002, 0, None), (9003, None, None), (9004, 100, None), (None, 5, None), (7, 7, "again")]
@@ -119,18 +135,6 @@ def test_pack_frames(spark):
 # Cutting ---------------------------------------------------------------------------------------------------------------
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab c.\n,X é", max_size=900), st.integers(0, 60) | st.none(), st.integers(0, 80) | st.none())
-def test_pieces_cover_and_keep_limits(text, size, overlap):
-    parts = chunking.split(text, size, overlap)
-    limit = max(1, 500 if size is None else size)
-    lap = min(50 if overlap is None else overlap, limit // 2)
-    assert parts[0][0] == 0 and parts[-1][1] == len(text)
-    assert all((z - a) // 4 <= limit for a, z in parts)
-    for (_, z), (a2, z2) in itertools.pairwise(parts):
-        assert (z - a2) // 4 == lap and z2 > z
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab c.\n,X é", max_size=900), st.integers(0, 60) | st.none(), st.integers(0, 80) | st.none())
 def test_cuts_share_the_whole_overlap(text, size, overlap):
@@ -153,7 +157,7 @@ def test_pieces_share_more_than_half_the_size(spark):
 def test_cuts_where_the_topic_ends():
     first = "The boiler heats water and the water moves steam through the boiler pipe. " * 6
     second = "Parliament voted the budget while ministers debated taxes in parliament. " * 6
-    (a, z), *_ = chunking.split(first + second, size=(len(first) + 120) // 4, overlap=0)
+    (a, z), *_ = chunking.cut(first + second, size=(len(first) + 120) // 4, overlap=0)
     assert z == len(first)
 
 
