@@ -5,8 +5,10 @@ reaches the threshold are kept, longer ones before those inside them, and replac
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,21 +25,49 @@ _UP = "A-ZÀ-ÖØ-Þ"
 _LOW = "a-zß-öø-ÿ"
 _HYPHEN = "-\u00ad\u2010\u2011\u00ac"
 _BR = rf"(?:[{_HYPHEN}]\n[ ]*)"  # a word broken at the end of a line
+_BREAK = re.compile(rf"(?<=\w)[{_HYPHEN}] *\n *(?=\w)")
 _CAP = rf"[{_UP}](?:[\w'’!@†]|{_BR})+"
 _SP = r"(?:[ \t]+|[ \t]*\n[ ]*)"
 _PART = r"(?:d[aeo]s?|del|della|van|von|der)"
 _WORD = rf"(?:{_CAP}|[{_UP}]\.(?={_SP}))"  # a word or an initial
 _NAME = re.compile(rf"{_WORD}(?:(?:{_SP}{_PART})?{_SP}{_WORD}|,{_SP}{_CAP}){{1,5}}")
 _WORDS = re.compile(rf"(?<!\w)(?:{_CAP}|[{_UP}]\.)")
-# Names in lower case are only taken between a word that announces a person and one that ends the mention.
-_SMALL = rf"(?!(?:as|os|the|das|dos|des|uma|por|com|sem|sob|que|nos|nas|aos|and|for|its)\b)[{_LOW}](?:[{_LOW}'’@!†]|{_BR}){{2,}}"
+# What stands before a person: titles, greetings, labels, agents and sources of what was said.
+_TITLES = r"(?:Sr|Sra|Srta|Srs|Dr|Dra|Drs|Eng|Enga|Prof|Profa|Mr|Mrs|Ms|Miss|Mx|Sir|Dona|Dom|Adv|Des)\b\.?|Senhora?|Doutora?|Professora?"
+_GREETINGS = r"Prezad[oa]s?|Car[oa]s?|Querid[oa]s?|Ol[áa]|Oi|Obrigad[oa]|Atenciosamente|Cordialmente|Respeitosamente|Abraços?|Dear|Hello|Hi|Hey|Thanks|Thank\s+you|Cheers|(?:[Bb]est|[Kk]ind|[Ww]arm)?\s*[Rr]egards|Sincerely|Yours(?:\s+(?:sincerely|truly|faithfully))?"
+_LABELS = r"Nome|Respons[áa]vel|Ciente|Testemunhas?|Contato|Cliente|Paciente|Titular|Portadora?|Requerente|Requerid[oa]|Solicitante|Destinat[áa]ri[oa]|Remetente|Assinatura|Presentes?|Aluna?|Autora?|Name|Contact(?:\s+person)?|Witness(?:es)?|Client|Customer|Patient|Holder|Applicant|Recipient|Sender|Signature|Author|From|To|De|Para|A/C|c/o|Attn\.?"
+_AGENTS = (
+    r"(?:assinad|firmad|subscrit|lavrad|redigid|elaborad|emitid|enviad|recebid|entregue|atendid|representad|apresentad|conduzid|acompanhad|acertad|acordad|celebrad|ajustad|pactuad|combinad)[oa]?s?\s+(?:por|a|ao|à|entre|com)|"
+    r"(?:signed|issued|sent|received|written|prepared|represented|attended|filed|submitted|made|delivered|agreed|arranged|settled)\s+(?:by|to|between|with)|"
+    r"(?:em\s+nome|por\s+ordem|aos\s+cuidados|na\s+presença)\s+de|on\s+behalf\s+of|in\s+the\s+presence\s+of|ficou\s+com|left\s+with|my\s+name\s+is|meu\s+nome\s+é|me\s+chamo|chamad[oa]|named|testemunha|witness|compareceram"
+)
+_SOURCES = r"segundo|conforme(?:\s+(?:declarou|informou|relatou))?|de\s+acordo\s+com|declarou|informou|afirmou|disse|according\s+to|stated\s+by|said|declared|reported\s+by"
+# What persons do, and what joins a person to the rest of a sentence.
+_DID = (
+    r"compareceu|compareceram|confirmou|declarou|assinou|informou|solicitou|requereu|pediu|afirmou|disse|relatou|apresentou|recebeu|entregou|concordou|acrescentou|aceitou|recusou|assistiu|participou|enviou|ligou|mora|reside|trabalha|"
+    r"attended|signed|stated|said|confirmed|declared|kept|received|requested|agreed|added|reported|wrote|called|informed|delivered|accepted|refused|sent|lives|resides|works\s+(?:at|for|in)"
+)
+_DOES = rf"(?:(?:n[ãa]o|nada|j[áa]|tamb[ée]m|has|had|have|also|nothing)\s+)*(?:{_DID})"
+_JOINS = r"e|em|no|na|ao|que|desde|quando|para|and|on|at|in|the|who|when|since|with|from|to"
+# Names in lower case are only taken between such a word and what ends the mention.
+_SMALL = rf"(?!(?:as|os|the|das|dos|des|uma|por|com|sem|sob|que|nos|nas|aos|and|for|its|seu|sua|esta|este|esse|essa|toda|todo|não|her|his|our|this|that|with|from|when|since|who|desde|quando|para|nada|{_DID})\b)[{_LOW}](?:[{_LOW}'’@!†]|{_BR}){{2,}}"
 _SMALL_NAME = rf"{_SMALL}(?:(?:{_SP}{_PART})?{_SP}{_SMALL}){{1,3}}?"
-_AFTER_CUE = re.compile(
-    rf"(?:Sr\.|Sra\.|Srta\.|Dr\.|Dra\.|Mr\.|Mrs\.|Ms\.|assinado{_SP}por|acertado{_SP}entre|testemunha|ficou{_SP}com|Conforme{_SP}declarou|Compareceram|Segundo|Ciente:|Responsável:|signed{_SP}by|agreed{_SP}between|According{_SP}to|stated{_SP}by|Contact{_SP}person:)"
-    rf"{_SP}({_SMALL_NAME})(?=[,.(]|{_SP}(?:\(|e{_SP}(?:juntado|a{_SP}contrat)|desde{_SP}|nada{_SP}|compareceu|confirmou|on{_SP}receipt|and{_SP}the|attended|kept)|\s*$)"
+_AFTER_CUE = re.compile(rf"(?:(?<!\w)(?:{_TITLES})|(?<!\w)(?:{_LABELS})\s*:|(?<!\w)(?i:{_AGENTS}|{_SOURCES})){_SP}({_SMALL_NAME})(?=[,.;(]|{_SP}(?:\(|(?:{_JOINS})\b|{_DOES}\b)|\s*$)")
+_BEFORE_CUE = re.compile(rf"(?:^|(?<=[.!?;:)•]\s)|(?<=\n\n)|(?<=\n[-•*] ))\s*({_SMALL_NAME})(?={_SP}{_DOES}\b)")
+# How those words and verbs begin; an automaton finds all of them in one pass, and the patterns are only tried there.
+_CUE_STEMS = (
+    "Sr", "Dr", "Eng", "Prof", "Mr", "Ms", "Miss", "Mx", "Sir", "Don", "Dom", "Adv", "Des", "Senhor", "Doutor", "Nome", "Respons", "Ciente", "Testemunha", "Contato", "Cliente", "Paciente", "Titular", "Portador", "Requer", "Solicitante", "Destinat", "Remetente", "Assinatura", "Presente", "Alun", "Autor",
+    "Name", "Contact", "Witness", "Client", "Customer", "Patient", "Holder", "Applicant", "Recipient", "Sender", "Signature", "From:", "To:", "De:", "Para:", "A/C", "c/o", "Attn", "assinad", "firmad", "subscrit", "lavrad", "redigid", "elaborad", "emitid", "enviad", "recebid", "entregue", "atendid", "representad", "apresentad",
+    "conduzid", "acompanhad", "acertad", "acordad", "celebrad", "ajustad", "pactuad", "combinad", "signed", "issued", "sent", "received", "written", "prepared", "represented", "attended", "filed", "submitted", "made", "delivered", "agreed", "arranged", "settled", "em nome", "por ordem", "aos cuidados", "na presença", "on behalf", "in the presence",
+    "ficou", "left", "my name", "meu nome", "me chamo", "chamad", "named", "testemunha", "witness", "comparecer", "segundo", "conforme", "de acordo", "declarou", "informou", "afirmou", "disse",
+    "according", "stated", "said", "declared", "reported",
 )
-_BEFORE_CUE = re.compile(rf"(?:^|(?<=[.!?;:)•-]\s)|(?<=\n))({_SMALL_NAME})(?={_SP}(?:confirmou{_SP}o{_SP}recebimento|compareceu{_SP}|nada{_SP}acrescentou|kept{_SP}the{_SP}key|attended{_SP}the))")
-_ANNOUNCED = re.compile(r"confirmou\s+o\s+receb|compareceu|nada\s+acres|kept\s+the|attended")
+_VERBS = tuple(v.partition("\\")[0] for v in _DID.split("|"))
+_STARTS = ahocorasick.Automaton()
+_CUES = {v for s in _CUE_STEMS for v in (s, s[0].upper() + s[1:])}
+for _stem in {*_CUES, *_VERBS}:
+    _STARTS.add_word(_stem, (len(_stem), _stem in _CUES, _stem in _VERBS))
+_STARTS.make_automaton()
 _LOCAL = r"[\w.+%'-]+"
 # Plain, spaced, and written so that machines do not read it: (a), [at], arroba ... ponto, at ... dot.
 _EMAIL = re.compile(
@@ -78,23 +108,25 @@ _ID_FOR = re.compile(r"(?:\bcpf|\brg|\bidentidade|identifica|\bcadastro|identity
 _ID_NOT = re.compile(r"(?:cnpj|nota fiscal|protocolo|processo|docket|invoice|\bbatch|\blote|\bitem\b|contrato|fatura|pedido|order no|\bpn\b|s[ée]rie|receipt no)[^.;\n]{0,16}$", re.I)
 _PHONE_FOR = re.compile(r"(?:\btel|fone|celular|ligar|call\b|phone|whats|recados|contato|d[úu]vida|portaria|atende|mobile|fax|number|n[úu]mero)", re.I)
 _PHONE_NOT = re.compile(r"(?:cnpj|nota fiscal|protocolo|processo|docket|invoice|\bbatch|\bitem\b|contrato|cpf|\brg\b|identity|cadastro|identifica|social number|\bid no|r\$|us\$)[^.;\n]{0,16}$", re.I)
-_TITLE = re.compile(r"(?:\b(?:Sr|Sra|Srta|Dr|Dra|Eng|Enga|Prof|Profa|Mr|Mrs|Ms|Miss|Dona|Dom|Adv|Des)\b\.?|\b(?:Senhor|Senhora|Doutor|Doutora|Professor|Professora)\b)\s*$", re.I)
-_NAME_BEFORE = re.compile(
-    r"(?:assinad[oa]\s+por|acertado\s+entre|testemunha|ficou\s+com|declarou|[Cc]ompareceram|[Ss]egundo|[Cc]iente\s*:|[Rr]espons[áa]vel\s*:|[Cc]ontato\s*:|[Cc]onforme|[Pp]resentes?|[Aa]ssinatura\s*:|[Nn]ome\s*:|por\s+ordem\s+de|representad[oa]\s+por|entregue\s+a|recebido\s+por|em\s+nome\s+de|"
-    r"signed\s+by|agreed\s+between|according\s+to|stated\s+by|[Cc]ontact\s+person\s*:|[Ww]itness|[Nn]ame\s*:|on\s+behalf\s+of|received\s+by|represented\s+by|[Aa]ttended\s+by|filed\s+by|According\s+to)\s*$"
-)
-_NAME_AFTER = re.compile(
-    r"^[,\s]*(?:compareceu|confirmou\s+o|declarou|assinou|nada\s+acrescentou|desde\s+a|\(assinatura|e\s+juntado|e\s+a\s+contrat|attended|kept|signed|stated|confirmed\s+(?:the\s+)?receipt|on\s+receipt|and\s+the\s+(?:supplier|contract)|residente|portador|had\s+nothing|added\s+nothing)"
-)
+_TITLE = re.compile(rf"(?<!\w)(?:{_TITLES})\s*$", re.I)
+_NAME_BEFORE = re.compile(rf"(?<!\w)(?:(?:{_GREETINGS})\s*,?|(?:{_LABELS})\s*:|(?i:{_AGENTS}|{_SOURCES}))\s*$")
+_NAME_AFTER = re.compile(rf"^[,\s]*(?:{_DOES}\b|\((?:assinatura|signature)|(?:residente|portadora?|domiciliad[oa]|nascid[oa]|inscrit[oa]|brasileir[oa]|born|residing|holder)\b)")
+# A number or an address of mail right after a name is that person's.
+_REACHED = re.compile(rf"^{_SP}?[,:(-]?{_SP}?(?:[+(]\d{{2}}|(?:tel|fone|cel|phone|call|e-?mail|cpf|rg|id)\b|[\w.+-]+@)", re.I)
 _ORG = re.compile(r"^[,.]?\s*(?:Ltda|S\.?\s*A\b|S/A|Ltd|Inc|GmbH|LLC|Corp|Eireli|Cia\b|M\.?E\b|&)")
-_ORG_WORD = re.compile(r"\b(?:Ltda|Ltd|Inc|GmbH|LLC|Works|Construtora|Companhia|Empresa|Cia|Grupo|Banco|Instituto|Associação|Fundação|Cooperativa|Prefeitura|Secretaria|Universidade|Company|Bank|University|Construction|Engenharia|Comercial)\b", re.I)
-_PLACE = re.compile(rf"^(?:The|Serra|Bairro|Jardim|Vila|Parque|Rio|Vale|Morro|Monte|Lagoa|Estado|Município|Cidade|Porto|Ilha|Basin|Ridge|{_STREET})\b", re.I)
-_PLACE_WORD = re.compile(r"\b(?:Basin|Ridge|Valley|River|Hills?|Lake|County|Street|Road|Lane|Court|Square)\b")
+_ORG_WORD = re.compile(
+    r"\b(?:Ltda|Ltd|Inc|GmbH|LLC|Works|Construtora|Construções|Companhia|Empresa|Cia|Grupo|Group|Banco|Instituto|Institute|Associação|Association|Fundação|Foundation|Cooperativa|Prefeitura|Secretaria|Ministério|Ministry|Câmara|Tribunal|Court|Council|Conselho|Comissão|Committee|Departamento|Department|"
+    r"Universidade|University|Escola|School|Hospital|Igreja|Church|Sindicato|Union|Company|Bank|Construction|Engenharia|Engineering|Comercial|Comércio|Indústria|Industries|Services?|Serviços|Transportes|Editora|Partners|Holdings?|Systems|Supply|Trading)\b",
+    re.I,
+)
+_PLACE = re.compile(rf"^(?:The|Serra|Bairro|Jardim|Vila|Parque|Rio|Vale|Morro|Monte|Lagoa|Lago|Estado|Município|Cidade|Porto|Ilha|Praia|Baía|Cabo|Fazenda|Sítio|Condomínio|Edifício|Estação|Ponte|Mount|Lake|Port|Cape|Fort|Saint|{_STREET})\b", re.I)
+_PLACE_WORD = re.compile(r"\b(?:Basin|Bay|Beach|Bridge|Canyon|Coast|County|Creek|Desert|District|Falls|Field|Forest|Garden|Gulf|Harbou?r|Heights|Hills?|Island|Lake|Mountains?|Park|Peak|Plains?|Plateau|Region|Ridge|River|Station|Street|Road|Lane|Square|Town|Valley|Village|Wood)\b")
 _FIRST = {
     # words that begin a sentence and are no part of a name
     "a", "o", "as", "os", "um", "uma", "em", "de", "do", "da", "no", "na", "por", "para", "com", "sem", "sob", "ao", "à", "e", "mas", "se", "the", "in", "on", "at", "by", "for", "from", "of", "and", "but", "this", "that", "segundo", "conforme", "compareceram", "compareceu",
     "presente", "presentes", "ciente", "contato", "responsável", "assinatura", "nome", "declarou", "according", "contact", "witness", "name", "senhor", "senhora", "sr", "sra", "dr", "dra", "eng", "mr", "mrs", "ms", "todavia", "assim", "além", "nesse", "posteriormente", "finally", "then", "later", "moreover", "however", "also", "testemunha",
     "residente", "domicílio", "foram", "ver", "ligar", "celular", "tel", "cpf", "rg", "call", "see", "deliver", "lives", "mail", "anexo", "volume", "item", "objeto", "escopo", "prazos", "conclusão", "metodologia", "deliberações", "constatações", "recebimento", "laudo", "relatório", "contrato", "processo", "ata", "norma", "memorial", "proposta", "uso", "cópia", "arquivo", "página", "page",
+    "prezado", "prezada", "prezados", "prezadas", "caro", "cara", "querido", "querida", "olá", "oi", "obrigado", "obrigada", "atenciosamente", "cordialmente", "abraço", "abraços", "dear", "hello", "hi", "hey", "thanks", "thank", "cheers", "regards", "best", "kind", "sincerely", "yours", "my", "meu", "minha", "i", "eu", "cliente", "paciente", "titular", "client", "customer", "patient", "from", "to", "attn",
 }
 
 
@@ -128,7 +160,8 @@ def mod11(number: str, places: int) -> bool:
 
 
 def _near(text: str, start: int, end: int) -> tuple[str, str]:
-    return text[max(0, start - BEFORE) : start].replace("\n", " "), text[end : end + AFTER]
+    """What stands around a span, words broken at line ends joined."""
+    return _BREAK.sub("", text[max(0, start - BEFORE) : start]).replace("\n", " "), _BREAK.sub("", text[end : end + AFTER])
 
 
 def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
@@ -139,7 +172,9 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
         before, _ = _near(text, *m.span())
         score = {"cpf": 0.6, "rg": 0.55, "ssn": 0.45, "doc": 0.4, "iban": 0.3, "card": 0.2, "bare": 0.1}[m.lastgroup if m.lastgroup != "sep" else "card"]
         raw = m.group()
-        if m.lastgroup in ("cpf", "bare") and mod11(raw, 11):
+        if m.lastgroup == "cpf":  # with a wrong digit only what stands before it can tell that it is one
+            score += 0.2 if mod11(raw, 11) else -0.3
+        if m.lastgroup == "bare" and mod11(raw, 11):
             score += 0.2
         if m.lastgroup == "card" or m.lastgroup == "sep":
             score += 0.5 if luhn(raw) else -0.2
@@ -155,7 +190,7 @@ def _numbers(text: str) -> Iterator[tuple[str, int, int, float]]:
             if m.group().count("\n") > 1:
                 continue
             before, _ = _near(text, *m.span())
-            score = 0.5 if m.group()[0] in "+(0" or m.group().count("5550") or m.re is _PHONE else 0.3
+            score = 0.5 if m.group()[0] in "+(0" or m.re is _PHONE else 0.3
             score += 0.3 * bool(_PHONE_FOR.search(before)) - 0.8 * bool(_PHONE_NOT.search(before))
             yield "phone", m.start(), m.end(), score
 
@@ -181,10 +216,12 @@ def _names(text: str) -> Iterator[tuple[str, int, int, float]]:
         score = 0.3
         if _TITLE.search(before):
             score += 0.5
-        if _NAME_BEFORE.search(before) or _NAME_BEFORE.search(text[max(0, start - BEFORE) : start].rstrip(" ,:") + " "):
+        if _NAME_BEFORE.search(before):
             score += 0.4
         if _NAME_AFTER.search(after):
             score += 0.4
+        if _REACHED.search(after):
+            score += 0.3
         if "," in span and not re.match(rf"(?:[{_UP}](?:[{_UP}'’0-9]|{_BR})+{_SP})*[{_UP}](?:[{_UP}'’0-9]|{_BR})+,{_SP}[{_UP}]", span):
             score -= 0.3
         if _ORG.search(after) or _ORG_WORD.search(span):
@@ -195,11 +232,12 @@ def _names(text: str) -> Iterator[tuple[str, int, int, float]]:
 
 
 def _small_names(text: str) -> Iterator[tuple[str, int, int, float]]:
-    for m in _AFTER_CUE.finditer(text):
-        yield "name", m.start(1), m.end(1), 0.6
-    if _ANNOUNCED.search(text):
-        for at in _ANNOUNCED.finditer(text):  # only the words just before such a verb are read
-            for m in _BEFORE_CUE.finditer(text, max(0, at.start() - 90), min(len(text), at.end() + 20)):
+    for end, (n, cue, verb) in _STARTS.iter(text):
+        at = end - n + 1
+        if cue and (m := _AFTER_CUE.match(text, at)):
+            yield "name", m.start(1), m.end(1), 0.6
+        if verb:  # only the words just before such a verb are read
+            for m in _BEFORE_CUE.finditer(text, max(0, at - 90), min(len(text), at + 20)):
                 yield "name", m.start(1), m.end(1), 0.6
 
 
@@ -222,11 +260,12 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     spans += _names(text)
     spans += _small_names(text)
     rank = {"email": 0, "address": 1, "id_number": 2, "phone": 2, "name": 3}
-    kept: list[tuple[str, int, int, float]] = []
+    kept: list[tuple[str, int, int, float]] = []  # in order of their starts; none overlaps another
     for s in sorted((s for s in spans if s[3] >= THRESHOLD), key=lambda s: (rank[s[0]], -s[3], s[1] - s[2], s[1])):
-        if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
-            kept.append(s)
-    return sorted(kept, key=lambda s: s[1])
+        at = bisect_left(kept, s[1], key=lambda k: k[1])
+        if (at == len(kept) or kept[at][1] >= s[2]) and (at == 0 or kept[at - 1][2] <= s[1]):
+            kept.insert(at, s)
+    return kept
 
 
 def mask(text: str) -> str:
