@@ -12,16 +12,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.runtime import checkpointed
 
 #: Least uses of a word of the trie, and how many times as frequent as a misreading of it it must be.
 WORD_USES, RATIO = 5, 12
-#: Words of one trie; a larger vocabulary is walked in several tries. Frequent words every task holds. Templates of
-#: furniture every task holds; lines of other templates are found by join.
-TRIE_WORDS, SAFE_WORDS, TEMPLATES = 100_000, 50_000, 5_000
+#: Words and templates of furniture that every task holds, the most frequent ones; what a page may have of the others
+#: is fetched for it by a join.
+SAFE_WORDS, TEMPLATES = 50_000, 5_000
 #: Files that must repeat a line at the edges of their pages for it to be a template apart from its numbers, and their
 #: least share of the files that have it at an edge.
 TEMPLATE_FILES, TEMPLATE_SHARE = 3, 0.3
@@ -86,14 +86,14 @@ def _masked(line: str) -> str:
     return re.sub(r"(?<![^\W\d_])\d+(?![^\W\d_])", "#", line)
 
 
-#: Words that a part of a line of furniture has at most.
-MOST_WORDS = 12
+#: Words and characters that a part of a line of furniture has at most.
+MOST_WORDS, MOST_CHARS = 12, 90
 
 
 def furniture_like(s: str, last: bool = True) -> bool:
     """Whether a stripped part of a line could be furniture at all: short, and nothing in it ends or parts a sentence.
     last: whether the line ends with it; another part may end with a full stop or a hyphen."""
-    if not s or len(s) > 90 or ", " in s or "; " in s or ": " in s or "! " in s or "? " in s:
+    if not s or len(s) > MOST_CHARS or ", " in s or "; " in s or ": " in s or "! " in s or "? " in s:
         return False
     end, before = s[-1], s[-2:-1]
     if end in (".,;:!?" if last else ",;:!?"):
@@ -186,15 +186,9 @@ def misread(true: str, got: str) -> bool:
     return CONFUSED.get(true if len(true) == 2 else true + " ") == got
 
 
-def correction(word: str, n: int, tries: list[Trie]) -> tuple[str, int] | None:
-    """The word that `word`, seen n times, stands for, and its uses; of several the most used one."""
-    best: tuple[str, int] | None = None
-    for trie in tries:
-        for w, true, got in trie.near(word):
-            uses = trie.words[w]
-            if w != word and misread(true, got) and uses >= (RATIO * n if got.isalpha() else n) and (best is None or uses > best[1]):
-                best = (w, uses)
-    return best
+def corrections(word: str, n: int, trie: Trie) -> list[tuple[str, int]]:
+    """All words that `word`, seen n times, may stand for, with their uses."""
+    return [(w, trie.words[w]) for w, true, got in trie.near(word) if w != word and misread(true, got) and trie.words[w] >= (RATIO * n if got.isalpha() else n)]
 
 
 # ---------------------------------------------------------------------------------------- what the corpus says
@@ -269,40 +263,70 @@ def templates(stats: DataFrame) -> DataFrame:
     return shared.where((F.col("files") >= TEMPLATE_FILES) & (F.col("files") >= TEMPLATE_SHARE * F.col("all")) & ~sentence & (F.length("mask") >= 4))
 
 
+def _shared(word: str) -> Column:
+    """Keys of which two words that are one misreading apart share at least one: how they begin or how they end. A
+    misreading leaves all but two characters of the longer word at its ends, so one end keeps half of them."""
+    c, n = F.col(word), F.length(word)
+    ends = lambda k: F.array(F.concat(F.lit(f"{k}<"), F.substring(c, 1, k)), F.concat(F.lit(f"{k}>"), F.right(c, F.lit(k))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(n <= 6, ends(1)).otherwise(none), F.when(n.between(6, 9), ends(2)).otherwise(none), F.when(n >= 9, ends(4)).otherwise(none))
+
+
 def lexicon(stats: DataFrame) -> DataFrame:
-    """word, correction: misread words and what they stand for. The vocabulary is walked in tries of TRIE_WORDS words
-    each; a larger vocabulary makes more tries, one after another, never a larger one."""
+    """word, correction (the most used of the words it may stand for) and open (all of them with their uses, if there
+    are several).
+
+    Words that can be one misreading apart meet in a group by how they begin or end; each group has the trie of its own
+    frequent words, which the automaton of every other word of the group walks. Nothing comes to the driver."""
     words = stats.where("kind in ('w', 'j')").select(F.regexp_replace("key1", "\x00", "").alias("word"), "kind", "n")
     words = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("whole"))
-    good = words.where((F.col("whole") >= WORD_USES) & F.col("word").rlike(r"^[\p{L}'’-]{3,40}$"))
-    total = good.count()
-    shards = max(1, -(-total // TRIE_WORDS))
-    suspects = words.where(F.length("word").between(3, 40) & F.col("word").rlike(r"\p{L}.*\p{L}"))
-    found = None
-    for k in range(shards):
-        part = good.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == k).select("word", "whole")
-        vocabulary = {r[0]: r[1] for r in part.collect()}  # about TRIE_WORDS rows
-        one = suspects.mapInArrow(_looking(vocabulary), "word string, correction string, uses bigint")
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("word").agg(F.max_by("correction", "uses").alias("correction"))
-
-
-def _looking(vocabulary: dict[str, int]):
-    most = max(vocabulary.values(), default=0)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary)
-        for batch in batches:
-            out: list[tuple[str, str, int]] = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if n * RATIO <= most or not word.isalpha():
-                    hit = correction(word, n, [trie])
-                    if hit:
-                        out.append((word, *hit))
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["word", "correction", "uses"])
-
-    return rows
+    good = (F.col("whole") >= WORD_USES) & F.col("word").rlike(r"^[\p{L}'’-]{3,40}$")
+    suspect = F.length("word").between(3, 40) & F.col("word").rlike(r"\p{L}.*\p{L}")
+    rows = words.withColumns({"good": good, "suspect": suspect}).where("good or suspect").select(F.explode(_shared("word")).alias("key"), "good", "word", "n", "whole", "suspect")
+    rows = rows.repartition("key").sortWithinPartitions("key", F.desc("good"))
+    found = rows.mapInArrow(_looking, "word string, correction string, uses bigint").distinct()
+    every = F.array_sort(F.collect_list(F.struct(F.col("uses"), F.col("correction").alias("word"))))
+    return found.groupBy("word").agg(F.max_by("correction", F.struct("uses", "correction")).alias("correction"), every.alias("open")).withColumn("open", F.when(F.size("open") > 1, F.col("open")))
+
+
+def _looking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Walks the trie of each group's frequent words, which come first in it."""
+    at, vocabulary, waiting, trie, most = None, {}, [], None, 0
+    for batch in batches:
+        out: list[tuple[str, str, int]] = []
+
+        def look(word: str, n: int) -> None:
+            if n * RATIO <= most or not word.isalpha():
+                out.extend((word, *c) for c in corrections(word, n, trie))  # noqa: B023
+
+        def close() -> None:
+            nonlocal trie, most, waiting
+            if trie is None:
+                trie, most = Trie(vocabulary), max(vocabulary.values(), default=0)
+                for w in waiting:
+                    look(*w)
+                waiting = []
+
+        for key, good, word, n, whole, suspect in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            if key != at:
+                close()
+                at, vocabulary, waiting, trie = key, {}, [], None
+            if good:
+                vocabulary[word] = whole
+                if suspect:
+                    waiting.append((word, n))
+            elif vocabulary or trie is not None:
+                close()
+                look(word, n)
+        yield _corrected(out)
+    if waiting:
+        trie, most = Trie(vocabulary), max(vocabulary.values(), default=0)
+        yield _corrected([(w, *c) for w, n in waiting if n * RATIO <= most or not w.isalpha() for c in corrections(w, n, trie)])
+
+
+def _corrected(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["word", "correction", "uses"])
 
 
 # ---------------------------------------------------------------------------------------- what a page needs
@@ -311,22 +335,56 @@ def _looking(vocabulary: dict[str, int]):
 BARE, SURE = "\x01bare", "\x01sure"
 
 
+def _around(template: str) -> list[str]:
+    """A template without each of its characters; none of a short one."""
+    return [template[:i] + template[i + 1 :] for i in range(len(template))] if len(template) >= 8 else []
+
+
+def _stems(word: str) -> tuple[str, ...]:
+    return (word.partition("-")[0], word.rpartition("-")[0]) if "-" in word else ()
+
+
 class Reader:
     """Reads pages with what the corpus says: frequent words with their uses, and templates of furniture."""
 
-    def __init__(self, safe: dict[str, int], known: list[str]):
+    def __init__(self, safe: dict[str, int], known: list[str], spaces: int = 0):
         self.safe = safe
         self.templates = set(known)
-        self.spaces = max([4, *[t.count(" ") for t in known]])
-        self.around = {t[:i] + t[i + 1 :] for t in known if len(t) >= 8 for i in range(len(t))}
-        self.stems = frozenset(w.rpartition("-")[0] for w in safe if "-" in w) | frozenset(w.partition("-")[0] for w in safe if "-" in w)
+        self.spaces = max([4, spaces, *[t.count(" ") for t in known]])  # of all templates
+        self.around = {v for t in known for v in _around(t)}
+        self.stems = frozenset(v for w in safe for v in _stems(w))
+        self.more: dict[str, int] = {}  # what a page has of the words and templates that not every task holds
+
+    def uses(self, word: str) -> int:
+        return self.safe.get(word) or self.more.get("w" + word, 0)
+
+    def stem(self, word: str) -> bool:
+        return word in self.stems or "s" + word in self.more
+
+    def wants(self, text: str) -> set[str]:
+        """Keys of what a page would ask: words (`w`), stems before a hyphen (`s`), templates (`t`) and templates but for
+        one character (`d`)."""
+        keys = {"w" + x for w in set(tokenise(text.lower())).difference(self.safe) if is_word(w) for x in (w, _trim(w)) if "\x00" not in w}
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            if line and (line[-1] in _MARKS or line[-1].isspace() and line.rstrip()[-1:] in _MARKS) and (left := _left(line).lower()):
+                keys |= {"w" + left, "s" + left}
+                for j in range(i + 1, min(i + 6, len(lines))):
+                    if h := _HEAD.match(lines[j]):
+                        right = _trim(h.group(1))
+                        keys |= {"w" + left + right.lower(), f"w{left}-{right.lower()}"}
+            for p in furniture_parts(line.strip()):
+                if (k := self.part(p)) not in (BARE, SURE):
+                    m = _masked(k)
+                    keys |= {"t" + m, *["d" + v for v in _around(m)]}
+        return keys
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def template(self, skel: str) -> bool:
         m = _masked(skel)
         if m in self.templates:
             return True
-        return len(m) >= 8 and m[-1] not in ".,;" and any(m[:i] + m[i + 1 :] in self.around for i in range(len(m)))
+        return len(m) >= 8 and m[-1] not in ".,;" and any(v in self.around for v in _around(m))
 
     @lru_cache(maxsize=200_000)  # noqa: B019
     def part(self, p: str) -> str:
@@ -338,6 +396,11 @@ class Reader:
         k = skeleton(p)
         return SURE if self.template(k) or _PAGE_LIKE.fullmatch(_masked(k)) else k
 
+    def extra(self, k: str) -> bool:
+        """Whether a skeleton is a template that came with the page."""
+        m = _masked(k)
+        return "t" + m in self.more or len(m) >= 8 and m[-1] not in ".,;" and any("d" + v in self.more for v in _around(m))
+
     def furniture(self, lines: list[str], page: int | None) -> tuple[list[bool], list[tuple[int, list[str]]]]:
         """Of each line whether it surely is furniture; and the edge lines that the file itself must tell, with keys."""
         full = [i for i, s in enumerate(lines) if s and not s.isspace()]
@@ -350,6 +413,8 @@ class Reader:
             if (i not in edge and "  " not in s and s.count(" ") > self.spaces) or not (split := furniture_parts(s)):
                 continue
             parts = [self.part(p) for p in split]
+            if self.more:
+                parts = [SURE if k not in (BARE, SURE) and self.extra(k) else k for k in parts]
             bares, ok = parts.count(BARE), parts.count(SURE)
             open_keys = [k for k in parts if k not in (BARE, SURE)]
             if not open_keys and (ok or bares == 0):
@@ -371,10 +436,10 @@ class Reader:
     def broken(self, left: str, right: str, mark: str) -> bool:
         """Whether a hyphen after `left` at a line's end breaks a word that goes on with `right`."""
         left, right = left.lower(), _trim(right.lower())
-        whole, own = self.safe.get(left + right, 0), self.safe.get(f"{left}-{right}", 0)
+        whole, own = self.uses(left + right), self.uses(f"{left}-{right}")
         if whole or own:
             return whole >= own
-        if left in self.stems and self.safe.get(left, 0) == 0 and mark == "-":
+        if mark == "-" and self.stem(left) and not self.uses(left):
             return False
         return True
 
@@ -382,16 +447,18 @@ class Reader:
         """A word that is not frequent: misread by its look, or one for the lexicon."""
         t = _trim(w)
         low = t.lower()
-        if low in self.safe or len(low) < 2:
+        if len(low) < 2 or self.uses(low):
             return
         if _ODD.search(t) and "." not in t and not re.search(rf"{re.escape(t)}[\w.-]*\.\w", line) and not re.search(r"^@|\d{2}", t):
             out.append((i + 1, "misread", t))
         else:
             out.append((i + 1, "ask", low))
 
-    def page(self, text: str, page: int | None) -> tuple[list[tuple[int, str, str]], list[tuple[int, list[str]]]]:
+    def page(self, text: str, page: int | None, more: dict[str, int] | None = None) -> tuple[list[tuple[int, str, str]], list[tuple[int, list[str]]]]:
         """(line, kind, word) where kind is furniture, hyphen, misread or ask (a word that the lexicon must tell; with a
-        zero character where a line ends in it); and the lines to ask the file about."""
+        zero character where a line ends in it); and the lines to ask the file about. more: what the page has of the words
+        and templates that the reader lacks."""
+        self.more = more or {}
         lines = text.split("\n")
         sure, ask = self.furniture(lines, page)
         out: list[tuple[int, str, str]] = [(i + 1, "furniture", "") for i, f in enumerate(sure) if f]
@@ -399,7 +466,7 @@ class Reader:
         asked = dict(ask)
         # What the whole page has beside frequent words: only lines with it, or with a hyphen at the end, are read.
         lower = text.lower()
-        strange = {w for w in set(tokenise(lower)).difference(self.safe) if "\x00" not in w and _trim(w) not in self.safe and is_word(w)}
+        strange = {w for w in set(tokenise(lower)).difference(self.safe) if "\x00" not in w and is_word(w) and not self.uses(_trim(w)) and not self.uses(w)}
         lows = lower.split("\n") if strange else []
         if len(lows) != len(lines):  # a letter whose lower case is longer never adds a line; without strange words none is read
             lows = []
@@ -422,7 +489,7 @@ class Reader:
                         continue
                     right = _trim(h.group(1))
                     low_right = right.lower()
-                    if low_left + low_right in self.safe or f"{low_left}-{low_right}" in self.safe:
+                    if self.uses(low_left + low_right) or self.uses(f"{low_left}-{low_right}"):
                         pick, known = (j, h, right), True
                         break
                     if pick is None and j not in asked:
@@ -431,7 +498,7 @@ class Reader:
                     if seen == 3:
                         break
                 if pick is None:
-                    if not (mark == "-" and low_left in self.stems):
+                    if not (mark == "-" and self.stem(low_left)):
                         out.append((i + 1, "hyphen", left))
                         cut = begin_left
                 elif self.broken(left, pick[2], mark):
@@ -441,7 +508,7 @@ class Reader:
                         cut = begin_left
                         carried[j] = h.end(1)
                         whole = low_left + right.lower()
-                        if whole not in self.safe:
+                        if not self.uses(whole):
                             if _ODD.search(left) or "†" in left:
                                 out.append((i + 1, "misread", left))
                             if _ODD.search(right) or "†" in right:
@@ -465,6 +532,26 @@ def _first_difference(word: str, correction: str) -> int:
     return i
 
 
+def _with_more(text: DataFrame, others: DataFrame, safe: dict[str, int], masks: list[str], spaces: int) -> DataFrame:
+    """text with `more`: what each page has of the words and templates in others (key, n)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(safe, masks, spaces)
+        for batch in batches:
+            at, keys = [], []
+            for i, raw in enumerate(batch.column(2).to_pylist()):
+                wanted = reader.wants(raw)
+                at += [i] * len(wanted)
+                keys += wanted
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(keys, pa.string())], names=["_doc", "_page", "key"])
+
+    wanted = text.mapInArrow(rows, "_doc string, _page int, key string")
+    more = wanted.join(others, "key").groupBy("_doc", "_page").agg(F.collect_set(F.struct("key", "n")).alias("more"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page"))
+    return text.join(more, same, "left").select(*text.columns, "more")
+
+
 def inspect(pages: DataFrame, corrections: bool = True) -> tuple[DataFrame, DataFrame]:
     """(found, lexicon): lines that need repair (doc_id, page, line_no, kind, word, correction) and the misread words.
     A repeated row gives its lines again."""
@@ -472,16 +559,34 @@ def inspect(pages: DataFrame, corrections: bool = True) -> tuple[DataFrame, Data
     stats = checkpointed(statistics(text))
     lex = checkpointed(lexicon(stats))
     words = stats.where("kind = 'w'").select(F.col("key1").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    top = words.join(lex, "word", "left_anti").where("n > 1").orderBy(F.desc("n"), "word").limit(SAFE_WORDS)
-    safe = {r[0]: r[1] for r in top.collect()}
-    known = [r[0] for r in templates(stats).orderBy(F.desc("files"), "mask").limit(TEMPLATES).collect()]
+    words = words.join(lex, "word", "left_anti").where("n > 1")
+    shapes = templates(stats)
+    top, known = words.orderBy(F.desc("n"), "word").limit(SAFE_WORDS).collect(), shapes.orderBy(F.desc("files"), "mask").limit(TEMPLATES).collect()
+    safe, masks, spaces = {r["word"]: r["n"] for r in top}, [r["mask"] for r in known], 0
+    others = None  # beyond what every task holds
+    if len(top) == SAFE_WORDS:
+        w, n = F.col("word"), F.col("n")
+        rest = words.where((n < top[-1]["n"]) | (n == top[-1]["n"]) & (w > top[-1]["word"]))
+        stem = F.explode(F.array(F.substring_index(w, "-", 1), F.regexp_replace(w, "-[^-]*$", ""))).alias("stem")
+        # Stems of words that the tasks hold are known to them.
+        others = rest.select(F.concat(F.lit("w"), w).alias("key"), n).unionByName(rest.where(w.contains("-")).select(stem).select(F.concat(F.lit("s"), "stem").alias("key"), F.lit(1).cast("bigint").alias("n")).distinct())
+    if len(known) == TEMPLATES:
+        m, n = F.col("mask"), F.col("files")
+        rest = shapes.where((n < known[-1]["files"]) | (n == known[-1]["files"]) & (m > known[-1]["mask"])).select("mask")
+        without = F.transform(F.sequence(F.lit(1), F.length(m)), lambda i: F.concat(F.lit("d"), F.substring(m, F.lit(1), i - 1), F.substring(m, i + 1, F.length(m))))
+        keys = F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("t"), m)), F.when(F.length(m) >= 8, without).otherwise(F.array().cast("array<string>"))))).alias("key")
+        far = rest.select(keys).distinct().withColumn("n", F.lit(1).cast("bigint"))
+        others = far if others is None else others.unionByName(far)
+        spaces = shapes.agg(F.coalesce(F.max(F.length("mask") - F.length(F.replace("mask", F.lit(" "), F.lit("")))), F.lit(0))).first()[0]
+    none_more = F.lit(None).cast("array<struct<key:string,n:bigint>>").alias("more")
+    text = text.withColumn("more", none_more) if others is None else _with_more(text, others, safe, masks, spaces)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(safe, known)
+        reader = Reader(safe, masks, spaces)
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, page, raw in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                found, ask = reader.page(raw, page)
+            for doc, page, raw, more in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                found, ask = reader.page(raw, page, {x["key"]: x["n"] for x in more} if more else None)
                 open_lines = {line + 1 for line, _ in ask}
                 for line, kind, word in found:
                     for c, v in zip(cols, (doc, page, line, kind, word, line in open_lines)):
@@ -500,13 +605,14 @@ def inspect(pages: DataFrame, corrections: bool = True) -> tuple[DataFrame, Data
     told = told.groupBy(*key).agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all")).where("all").select(*key)
     # Words that the lexicon tells; of a broken word the difference says which line has the wrong character.
     asked = read.where("kind = 'ask'").select(*key, "open", F.split("word", "\x00").alias("p")).withColumn("word", F.concat(F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.lit(""))))
-    wrong = asked.join(lex, "word")
+    lex_words = lex.select("word", "correction")
+    wrong = asked.join(lex_words, "word")
     same = F.length(F.regexp_extract(F.concat_ws("\x01", "word", "correction"), "^([^\x01]*)[^\x01]*\x01\\1", 1))
     line = F.when((F.size("p") == 3) & (same >= F.length(F.col("p")[0])), F.get("p", F.lit(2)).try_cast("int")).otherwise(F.col("line_no"))
     wrong = wrong.select("doc_id", "page", line.alias("line_no"), F.lit("misread").alias("kind"), "word", "correction", "open")
     seen = read.where("kind in ('hyphen', 'misread', 'furniture')").select(*key, "kind", "word", "open")
     if corrections:
-        seen = seen.withColumn("low", F.lower("word")).join(lex.withColumnRenamed("word", "low"), "low", "left").drop("low")
+        seen = seen.withColumn("low", F.lower("word")).join(lex_words.withColumnRenamed("word", "low"), "low", "left").drop("low")
     else:
         seen = seen.withColumn("correction", F.lit(None).cast("string"))
     other = wrong.unionByName(seen.select(wrong.columns))

@@ -268,7 +268,7 @@ def test_automaton_finds_all_within_reach(words, query):
 
 def test_known_misreadings():
     trie = ocr.Trie({"contrato": 500, "fornecedora": 500, "norma": 500, "cláusula": 500, "rua": 40, "anexo": 500})
-    fix = lambda w, n=1: (ocr.correction(w, n, [trie]) or (None,))[0]
+    fix = lambda w, n=1: max(((uses, c) for c, uses in ocr.corrections(w, n, trie)), default=(0, None))[1]
     assert [fix(w) for w in ("contiato", "fomecedora", "riorma", "dáusula", "con†rato", "arexo", "ariexo")] == ["contrato", "fornecedora", "norma", "cláusula", "contrato", None, "anexo"]
     assert fix("contiato", 100) is None  # too frequent to be a misreading
 
@@ -296,6 +296,27 @@ def test_lines_to_repair(spark):
     assert ocr.lines_to_repair(_scan(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 10])
+def test_what_tasks_do_not_hold_is_fetched(spark, monkeypatch, held):
+    every = {tuple(r) for r in ocr.lines_to_repair(_scan(spark)).collect()}
+    monkeypatch.setattr(ocr, "SAFE_WORDS", held)
+    monkeypatch.setattr(ocr, "TEMPLATES", 1)
+    assert {tuple(r) for r in ocr.lines_to_repair(_scan(spark)).collect()} == every and len(every) > 50
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abrnm", min_size=3, max_size=12), st.integers(0, 12), st.sampled_from(["", "a", "rn", "m"]), st.integers(0, 2))
+def test_words_one_misreading_apart_share_a_key(word, at, put, gone):
+    gone = min(gone, 2 if len(put) == 1 else 1)
+    other = word[:at] + put + word[at + gone :]
+
+    def keys(w):
+        n = len(w)
+        return {(k, e, w[:k] if e else w[-k:]) for k, low, high in ((1, 0, 6), (2, 6, 9), (4, 9, 99)) for e in (0, 1) if low <= n <= high}
+
+    assert len(other) < 3 or abs(len(other) - len(word)) > 1 or keys(word) & keys(other)
+
+
 def test_paragraphs(spark):
     text = {(r.doc_id, r.page, r.paragraph): r.text for r in ocr.paragraphs(_scan(spark)).collect()}
     p = text["a", 2, 1]
