@@ -186,9 +186,14 @@ def misread(true: str, got: str) -> bool:
     return CONFUSED.get(true if len(true) == 2 else true + " ") == got
 
 
-def corrections(word: str, n: int, trie: Trie) -> list[tuple[str, int]]:
-    """All words that `word`, seen n times, may stand for, with their uses."""
-    return [(w, trie.words[w]) for w, true, got in trie.near(word) if w != word and misread(true, got) and trie.words[w] >= (RATIO * n if got.isalpha() else n)]
+def corrections(word: str, n: int, trie: Trie) -> list[tuple[str, int, bool]]:
+    """All words that `word`, seen n times, may stand for, with their uses and whether the misreading is one of the fixed
+    pairs and not just a digit or mark."""
+    out = []
+    for w, true, got in trie.near(word):
+        if w != word and misread(true, got) and trie.words[w] >= (RATIO * n if got.isalpha() else n):
+            out.append((w, trie.words[w], len(true) != 1 or len(got) != 1 or got in CONFUSED.get(true, "")))
+    return out
 
 
 # ---------------------------------------------------------------------------------------- what the corpus says
@@ -273,8 +278,8 @@ def _shared(word: str) -> Column:
 
 
 def lexicon(stats: DataFrame) -> DataFrame:
-    """word, correction (the most used of the words it may stand for) and open (all of them with their uses, if there
-    are several).
+    """word, correction (of the words it may stand for one by a fixed pair, of these the most used) and open (all of
+    them, if there are several).
 
     Words that can be one misreading apart meet in a group by how they begin or end; each group has the trie of its own
     frequent words, which the automaton of every other word of the group walks. Nothing comes to the driver."""
@@ -284,16 +289,16 @@ def lexicon(stats: DataFrame) -> DataFrame:
     suspect = F.length("word").between(3, 40) & F.col("word").rlike(r"\p{L}.*\p{L}")
     rows = words.withColumns({"good": good, "suspect": suspect}).where("good or suspect").select(F.explode(_shared("word")).alias("key"), "good", "word", "n", "whole", "suspect")
     rows = rows.repartition("key").sortWithinPartitions("key", F.desc("good"))
-    found = rows.mapInArrow(_looking, "word string, correction string, uses bigint").distinct()
-    every = F.array_sort(F.collect_list(F.struct(F.col("uses"), F.col("correction").alias("word"))))
-    return found.groupBy("word").agg(F.max_by("correction", F.struct("uses", "correction")).alias("correction"), every.alias("open")).withColumn("open", F.when(F.size("open") > 1, F.col("open")))
+    found = rows.mapInArrow(_looking, "word string, correction string, uses bigint, fixed boolean").distinct()
+    every = F.array_sort(F.collect_list(F.struct("fixed", "uses", "correction")))
+    return found.groupBy("word").agg(F.max_by("correction", F.struct("fixed", "uses", "correction")).alias("correction"), every.alias("open")).withColumn("open", F.when(F.size("open") > 1, F.col("open")))
 
 
 def _looking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walks the trie of each group's frequent words, which come first in it."""
     at, vocabulary, waiting, trie, most = None, {}, [], None, 0
     for batch in batches:
-        out: list[tuple[str, str, int]] = []
+        out: list[tuple] = []
 
         def look(word: str, n: int) -> None:
             if n * RATIO <= most or not word.isalpha():
@@ -324,9 +329,38 @@ def _looking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _corrected([(w, *c) for w, n in waiting if n * RATIO <= most or not w.isalpha() for c in corrections(w, n, trie)])
 
 
-def _corrected(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["word", "correction", "uses"])
+def _corrected(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["word", "correction", "uses", "fixed"])
+
+
+def in_context(occurrences: DataFrame, lex: DataFrame, pages: DataFrame) -> DataFrame:
+    """word, near, best: for each word that may stand for several, and the words before and after it (near), the one that
+    the corpus has most often beside those; of equals as in lexicon()."""
+    several = lex.where("open is not null").select("word", F.explode("open").alias("o")).select("word", "o.*")
+    near = F.split("near", "\x00")
+    tried = occurrences.select("word", "near").distinct().join(several, "word").withColumns({"left": F.concat_ws(" ", near[0], "correction"), "right": F.concat_ws(" ", "correction", F.get(near, F.lit(1)))})
+    wanted = tried.select(F.explode(F.array("left", "right")).alias("pair")).distinct()
+    held = several.select("correction").distinct().limit(SAFE_WORDS + 1).collect()
+    pairs = _pairs(pages, {r[0] for r in held} if len(held) <= SAFE_WORDS else None).join(wanted, "pair", "left_semi").groupBy("pair").agg(F.sum("n").alias("n"))
+    for side in ("left", "right"):
+        tried = tried.join(pairs.select(F.col("pair").alias(side), F.col("n").alias(f"n_{side}")), side, "left")
+    seen = (F.coalesce("n_left", F.lit(0)) + F.coalesce("n_right", F.lit(0))).alias("seen")
+    return tried.groupBy("word", "near").agg(F.max_by("correction", F.struct(seen, "fixed", "uses", "correction")).alias("best"))
+
+
+def _pairs(pages: DataFrame, some: set[str] | None) -> DataFrame:
+    """pair, n: words beside each other, counted per batch; only pairs with one of some, if given."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                words = [_trim(w) for w in tokenise(text.lower())]
+                counts.update(f"{x} {y}" for x, y in zip(words, words[1:]) if some is None or x in some or y in some)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
+
+    return pages.select("raw_text").mapInArrow(rows, "pair string, n bigint")
 
 
 # ---------------------------------------------------------------------------------------- what a page needs
@@ -443,25 +477,25 @@ class Reader:
             return False
         return True
 
-    def word(self, w: str, line: str, i: int, out: list) -> None:
-        """A word that is not frequent: misread by its look, or one for the lexicon."""
+    def word(self, w: str, line: str, i: int, out: list, near: str) -> None:
+        """A word that is not frequent: misread by its look, or one for the lexicon; near: the words beside it."""
         t = _trim(w)
         low = t.lower()
         if len(low) < 2 or self.uses(low):
             return
         if _ODD.search(t) and "." not in t and not re.search(rf"{re.escape(t)}[\w.-]*\.\w", line) and not re.search(r"^@|\d{2}", t):
-            out.append((i + 1, "misread", t))
+            out.append((i + 1, "misread", t, near))
         else:
-            out.append((i + 1, "ask", low))
+            out.append((i + 1, "ask", low, near))
 
-    def page(self, text: str, page: int | None, more: dict[str, int] | None = None) -> tuple[list[tuple[int, str, str]], list[tuple[int, list[str]]]]:
-        """(line, kind, word) where kind is furniture, hyphen, misread or ask (a word that the lexicon must tell; with a
+    def page(self, text: str, page: int | None, more: dict[str, int] | None = None) -> tuple[list[tuple[int, str, str, str]], list[tuple[int, list[str]]]]:
+        """(line, kind, word, near) where kind is furniture, hyphen, misread or ask (a word that the lexicon must tell; with a
         zero character where a line ends in it); and the lines to ask the file about. more: what the page has of the words
         and templates that the reader lacks."""
         self.more = more or {}
         lines = text.split("\n")
         sure, ask = self.furniture(lines, page)
-        out: list[tuple[int, str, str]] = [(i + 1, "furniture", "") for i, f in enumerate(sure) if f]
+        out: list[tuple[int, str, str, str]] = [(i + 1, "furniture", "", "") for i, f in enumerate(sure) if f]
         carried: dict[int, int] = {}  # line to the characters at its start that belong to a broken word
         asked = dict(ask)
         # What the whole page has beside frequent words: only lines with it, or with a hyphen at the end, are read.
@@ -499,26 +533,28 @@ class Reader:
                         break
                 if pick is None:
                     if not (mark == "-" and self.stem(low_left)):
-                        out.append((i + 1, "hyphen", left))
+                        out.append((i + 1, "hyphen", left, ""))
                         cut = begin_left
                 elif self.broken(left, pick[2], mark):
                     j, h, right = pick
                     if right[:1].islower() or right.isupper() and left.isupper() or known:
-                        out.append((i + 1, "hyphen", f"{left}\x00{right}"))
+                        out.append((i + 1, "hyphen", f"{left}\x00{right}", ""))
                         cut = begin_left
                         carried[j] = h.end(1)
                         whole = low_left + right.lower()
                         if not self.uses(whole):
                             if _ODD.search(left) or "†" in left:
-                                out.append((i + 1, "misread", left))
+                                out.append((i + 1, "misread", left, ""))
                             if _ODD.search(right) or "†" in right:
-                                out.append((j + 1, "misread", right))
-                            out.append((i + 1, "ask", f"{low_left}\x00{right.lower()}\x00{j + 1}"))
+                                out.append((j + 1, "misread", right, ""))
+                            out.append((i + 1, "ask", f"{low_left}\x00{right.lower()}\x00{j + 1}", ""))
             begin = carried.pop(i, 0)
             if i in odd:
-                for w in tokenise(line[begin:cut]):
+                row = tokenise(line[begin:cut])
+                for k, w in enumerate(row):
                     if w.lower() in strange:
-                        self.word(w, line, i, out)
+                        beside = [_trim(row[j].lower()) if 0 <= j < len(row) else "" for j in (k - 1, k + 1)]
+                        self.word(w, line, i, out, "\x00".join(beside))
         return out, ask
 
 
@@ -584,38 +620,43 @@ def inspect(pages: DataFrame, corrections: bool = True) -> tuple[DataFrame, Data
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(safe, masks, spaces)
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for doc, page, raw, more in zip(*[batch.column(i).to_pylist() for i in range(4)]):
                 found, ask = reader.page(raw, page, {x["key"]: x["n"] for x in more} if more else None)
                 open_lines = {line + 1 for line, _ in ask}
-                for line, kind, word in found:
-                    for c, v in zip(cols, (doc, page, line, kind, word, line in open_lines)):
+                for line, kind, word, near in found:
+                    for c, v in zip(cols, (doc, page, line, kind, word, near, line in open_lines)):
                         c.append(v)
                 for line, keys in ask:
-                    for c, v in zip(cols, (doc, page, line + 1, "edge", "\x00".join(keys), True)):
+                    for c, v in zip(cols, (doc, page, line + 1, "edge", "\x00".join(keys), "", True)):
                         c.append(v)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "page", "line_no", "kind", "word", "open"])
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "page", "line_no", "kind", "word", "near", "open"])
 
-    read = checkpointed(text.mapInArrow(rows, "doc_id string, page int, line_no int, kind string, word string, open boolean"))
+    read = checkpointed(text.mapInArrow(rows, "doc_id string, page int, line_no int, kind string, word string, near string, open boolean"))
     key = ["doc_id", "page", "line_no"]
     # Edge lines that the file tells: every part of the line must repeat at its edges.
     parts = read.where("kind = 'edge'").select(*key, F.explode(F.split("word", "\x00")).alias("key2"))
     told = parts.join(furniture_keys(stats).select(F.col("key1").alias("doc_id"), "key2", F.lit(True).alias("hit")), ["doc_id", "key2"], "left")
     told = told.groupBy(*key).agg(F.bool_and(F.coalesce("hit", F.lit(False))).alias("all")).where("all").select(*key)
     # Words that the lexicon tells; of a broken word the difference says which line has the wrong character.
-    asked = read.where("kind = 'ask'").select(*key, "open", F.split("word", "\x00").alias("p")).withColumn("word", F.concat(F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.lit(""))))
+    asked = read.where("kind = 'ask'").select(*key, "open", "near", F.split("word", "\x00").alias("p")).withColumn("word", F.concat(F.col("p")[0], F.coalesce(F.get("p", F.lit(1)), F.lit(""))))
     lex_words = lex.select("word", "correction")
     wrong = asked.join(lex_words, "word")
     same = F.length(F.regexp_extract(F.concat_ws("\x01", "word", "correction"), "^([^\x01]*)[^\x01]*\x01\\1", 1))
     line = F.when((F.size("p") == 3) & (same >= F.length(F.col("p")[0])), F.get("p", F.lit(2)).try_cast("int")).otherwise(F.col("line_no"))
-    wrong = wrong.select("doc_id", "page", line.alias("line_no"), F.lit("misread").alias("kind"), "word", "correction", "open")
-    seen = read.where("kind in ('hyphen', 'misread', 'furniture')").select(*key, "kind", "word", "open")
+    wrong = wrong.select("doc_id", "page", line.alias("line_no"), F.lit("misread").alias("kind"), "word", "near", "correction", "open")
+    seen = read.where("kind in ('hyphen', 'misread', 'furniture')").select(*key, "kind", "word", "near", "open")
     if corrections:
         seen = seen.withColumn("low", F.lower("word")).join(lex_words.withColumnRenamed("word", "low"), "low", "left").drop("low")
     else:
         seen = seen.withColumn("correction", F.lit(None).cast("string"))
     other = wrong.unionByName(seen.select(wrong.columns))
+    if corrections and not lex.where("open is not null").isEmpty():
+        other = other.withColumn("low", F.lower("word"))
+        best = in_context(other.where("correction is not null").select(F.col("low").alias("word"), "near"), lex, text)
+        other = other.join(best.withColumnRenamed("word", "low"), ["low", "near"], "left").withColumn("correction", F.coalesce("best", "correction")).drop("low", "best")
+    other = other.drop("near")
     # Only lines that the file was asked about can turn out to be furniture.
     plain = other.where("not open").unionByName(other.where("open").join(told, key, "left_anti").select(other.columns)).drop("open")
     none = F.lit(None).cast("string")

@@ -268,7 +268,7 @@ def test_automaton_finds_all_within_reach(words, query):
 
 def test_known_misreadings():
     trie = ocr.Trie({"contrato": 500, "fornecedora": 500, "norma": 500, "cláusula": 500, "rua": 40, "anexo": 500})
-    fix = lambda w, n=1: max(((uses, c) for c, uses in ocr.corrections(w, n, trie)), default=(0, None))[1]
+    fix = lambda w, n=1: max(((known, uses, c) for c, uses, known in ocr.corrections(w, n, trie)), default=(0, 0, None))[2]
     assert [fix(w) for w in ("contiato", "fomecedora", "riorma", "dáusula", "con†rato", "arexo", "ariexo")] == ["contrato", "fornecedora", "norma", "cláusula", "contrato", None, "anexo"]
     assert fix("contiato", 100) is None  # too frequent to be a misreading
 
@@ -324,6 +324,13 @@ def test_paragraphs(spark):
     assert ("n", 1, 1) not in text
 
 
+def test_the_words_beside_a_misread_word_choose(spark):
+    plain = "a diretoria administrativa aprovou a multa e o quadro administrativo seguiu\nno relatório da obra " * 6
+    rows = [("a", k, plain) for k in range(1, 12)] + [("b", 1, "a diretoria administrativ3 aprovou"), ("b", 2, "o quadro administrativ3 seguiu")]
+    got = {(r.doc_id, r.page): r.text for r in ocr.paragraphs(spark.createDataFrame(rows, "doc_id string, page int, raw_text string")).where("doc_id = 'b'").collect()}
+    assert got == {("b", 1): "a diretoria administrativa aprovou", ("b", 2): "o quadro administrativo seguiu"}
+
+
 def test_page_number_beside_a_running_header(spark):
     body = "a equipe revisou o contrato e a garantia do painel no anexo da obra"
     foot = lambda n: f"Página {n} de 12   Processo administrativo 628 | Volume II"
