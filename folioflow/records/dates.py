@@ -8,7 +8,7 @@ of it is built-in expressions; nothing leaves the JVM.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import settled
+from ..plans.runtime import checkpointed, settled
 
 # Month names and zone abbreviations with their offsets in minutes.
 MONTHS = {
@@ -34,6 +34,8 @@ ZONES = {
 PRIOR, OTHER = 50.0, 0.5
 #: Steps of expectation-maximisation; the two-reading mixture converges within a few.
 STEPS = 25
+#: Origins whose zones and shares are broadcast.
+ORIGINS = 10_000
 #: Least posterior of a reading to be chosen; below it the mention stays ambiguous.
 CERTAIN = 0.9
 
@@ -140,14 +142,16 @@ _COUNTS = ("n_dmy", "n_mdy", "n_both")
 
 
 def mixtures(read: DataFrame, zones: DataFrame) -> DataFrame:
-    """Per zone row the share `pi` of day-first among its numeric dates, by expectation-maximisation: a date valid one way
-    counts for that way, one valid both ways in parts as likely as the last share says. Three counts per origin are
-    enough for it, so a hot origin is pre-aggregated and nothing is gathered."""
+    """origin, zone_name, pi of every origin in the data and in zones (null too): the share of day-first among its numeric
+    dates, by expectation-maximisation: a date valid one way counts for that way, one valid both ways in parts as likely
+    as the last share says. Three counts per origin are enough for it, so a hot origin is pre-aggregated and nothing is
+    gathered. What zones says of an origin is a prior; an origin that it lacks has only its own dates."""
     both = F.col("dmy").isNotNull() & F.col("mdy").isNotNull()
     counts = read.groupBy("origin").agg(
         F.count_if(F.col("dmy").isNotNull() & F.col("mdy").isNull()).alias("n_dmy"), F.count_if(F.col("mdy").isNotNull() & F.col("dmy").isNull()).alias("n_mdy"), F.count_if(both).alias("n_both")
     )
-    known = zones.join(counts, "origin", "left").fillna(0, list(_COUNTS))
+    counts = counts.withColumnRenamed("origin", "_origin")
+    known = zones.join(counts, F.col("origin").eqNullSafe(F.col("_origin")), "full").withColumn("origin", F.coalesce("origin", "_origin")).drop("_origin").fillna(0, list(_COUNTS))
     day = F.when(F.col("day_first"), PRIOR).when(~F.col("day_first"), OTHER).otherwise(1.0)
     month = F.when(F.col("day_first"), OTHER).when(~F.col("day_first"), PRIOR).otherwise(1.0)
     total = day + month + F.col("n_dmy") + F.col("n_mdy") + F.col("n_both")
@@ -159,17 +163,19 @@ def normalise(mentions: DataFrame, zones: DataFrame) -> DataFrame:
     """One row per mention_id: `stamp`, `status` (`date`, `instant`, `ambiguous`, `no_zone`, `no_date`), `reading`,
     `posterior`.
 
-    mentions: mention_id, original, origin; zones: origin, zone_name, day_first. The zone table is a fixed, small list
-    of places and is broadcast, together with one share per place. A null or unreadable original, a date that does not
+    mentions: mention_id, original, origin; zones: origin, zone_name, day_first. One row per origin, with its zone and
+    share, is broadcast if there are at most ORIGINS, else joined by key. A null or unreadable original, a date that does not
     exist and a vague one are `no_date`; a local time without zone and origin is `no_zone`; a numeric date that no
     reading wins is `ambiguous`; these have a null stamp. Local times that occur twice mean the earlier instant, skipped
     ones move forward by the gap. Rows without mention_id are left
     out, repeated ones count once; other columns are dropped; empty tables give empty ones."""
     once = mentions.select("mention_id", "original", "origin").where("mention_id is not null").dropDuplicates(["mention_id"])
-    apart = readings(once)
-    read = settled(apart)
-    zones = zones.select("origin", "zone_name", "day_first").dropDuplicates(["origin"])
-    read = read.join(F.broadcast(mixtures(apart, zones)), "origin", "left")
+    # Written once: the patterns are costly, and both the counts and the choice need what they find.
+    read = checkpointed(settled(readings(once)))
+    zones = zones.select("origin", "zone_name", "day_first").where("origin is not null").dropDuplicates(["origin"])
+    mixed = checkpointed(mixtures(read, zones).withColumnRenamed("origin", "_origin"))
+    few = mixed.limit(ORIGINS + 1).count() <= ORIGINS
+    read = read.join(F.broadcast(mixed) if few else mixed, F.col("origin").eqNullSafe(F.col("_origin")), "left").drop("_origin")
     pi = F.coalesce("pi", F.lit(0.5))
     both = F.col("dmy").isNotNull() & F.col("mdy").isNotNull() & (F.col("dmy") != F.col("mdy"))
     posterior = F.when(both, F.greatest(pi, 1 - pi)).otherwise(F.lit(1.0))

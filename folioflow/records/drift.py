@@ -8,16 +8,19 @@ they route every record to one consistent table with the names and types of the
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from . import nested
+from ..functions.jsontext import read as read_root
+from ..functions.jsontext import unwrap
+from ..plans.runtime import checkpointed
 
 TYPES = ("number", "string", "boolean", "object", "array")
 #: Slots of the sketch of a field's values and of their shapes; a slot keeps the least hash that falls into it.
@@ -28,33 +31,6 @@ RENAME_SCORE = 0.55
 _PYTHON = {bool: 2, int: 0, float: 0, str: 1, dict: 3, list: 4}
 
 
-def read_root(raw: bytes | None):
-    """The JSON value of a text: around it anything is ignored, a string that holds JSON is read on. None if the text
-    is null, blank or unreadable."""
-    if not raw:
-        return None
-    text = raw.decode("utf-8", "replace")
-    try:
-        value = json.loads(text)
-    except (ValueError, RecursionError):
-        begin = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-        if begin < 0:
-            return None
-        try:
-            value, _ = json.JSONDecoder().raw_decode(text, begin)
-        except (ValueError, RecursionError):
-            return None
-    return unwrap(value)
-
-
-def unwrap(value):
-    """A string that holds a JSON object or array counts as that."""
-    if isinstance(value, str) and value.lstrip()[:1] in ("{", "[", '"'):
-        inner = nested._embedded(json.dumps(value).encode())
-        return value if inner is None else json.loads(inner)
-    return value
-
-
 class _Field:
     __slots__ = ("n", "seen", "types", "pos", "logs", "ints", "slots")
 
@@ -269,17 +245,18 @@ def file_pairs(df: DataFrame) -> DataFrame:
     return files.withColumn("prev", F.lag("file_no").over(W.partitionBy("feed").orderBy("file_no"))).where("prev is not null")
 
 
-def changes(df: DataFrame) -> DataFrame:
+def changes(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """Every difference between a file and the previous file of its feed: feed, file_no, change (`added`, `removed`,
     `renamed`, `type_changed`), field, new_field (empty unless renamed).
 
     A field is there if any readable record has it with a non-null value; its type is the most frequent one. Rows
     without infer_id, feed or file_no belong to no file and are left out; repeated rows count once; files without a readable
-    record have no fields. Extra columns are ignored. An empty table gives an empty table."""
+    record have no fields. Extra columns are ignored. An empty table gives an empty table. profiled: the profiles, where
+    they are at hand."""
     # Each profile goes to its own comparison (side 1) and to the next file's (side 0); it is built only once.
     goes = F.explode(F.array(F.struct(F.col("file_no").alias("own"), F.col("file_no").alias("to"), F.lit(1).alias("side")), F.struct(F.col("prev").alias("own"), F.col("file_no").alias("to"), F.lit(0).alias("side")))).alias("g")
     routes = file_pairs(df).select("feed", goes).select("feed", F.col("g.own").alias("file_no"), "g.to", "g.side")
-    both = profiles(df).join(routes, ["feed", "file_no"]).drop("file_no").withColumnRenamed("to", "file_no")
+    both = (profiles(df) if profiled is None else profiled).join(routes, ["feed", "file_no"]).drop("file_no").withColumnRenamed("to", "file_no")
     both = both.repartition("feed", "file_no").sortWithinPartitions("feed", "file_no")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,12 +282,49 @@ def changes(df: DataFrame) -> DataFrame:
     return both.mapInPandas(rows, "feed string, file_no int, change string, field string, new_field string")
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
+def _main_type() -> Column:
+    """The most frequent type of a profile's field."""
+    return F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
+
+
+def fingerprints(df: DataFrame, profiled: DataFrame | None = None) -> DataFrame:
     """A version per file: feed, file_no, n_fields and fingerprint, a hash of its sorted fields and types. The same
     fingerprint means the same schema, whatever schema_version says."""
-    top = F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
-    line = F.concat_ws(":", "field", top)
-    return profiles(df).where("n > 0").groupBy("feed", "file_no").agg(F.count("*").alias("n_fields"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("fingerprint"))
+    line = F.concat_ws(":", "field", _main_type())
+    rows = (profiles(df) if profiled is None else profiled).where("n > 0")
+    return rows.groupBy("feed", "file_no").agg(F.count("*").alias("n_fields"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(line))), 256).alias("fingerprint"))
+
+
+def _current(prints: DataFrame) -> DataFrame:
+    """feed, file_no, current: whether a file's fingerprint is that of its feed's last file, so that no step applies."""
+    last = prints.groupBy("feed").agg(F.max_by("fingerprint", "file_no").alias("last"))
+    return prints.join(last, "feed").select("feed", "file_no", (F.col("fingerprint") == F.col("last")).alias("current"))
+
+
+def routes(df: DataFrame) -> DataFrame:
+    """The way of each file to the feed's last schema: feed, file_no, fingerprint (null without readable records), current
+    (its fingerprint is the last file's, so no step applies), steps (file_no, change, field, new_field: all later ones, in
+    order) and collisions (last names in which several of the file's fields meet).
+
+    One row per file; only the feed's change log and the file's field names are gathered, never records."""
+    profiled = checkpointed(profiles(df))
+    prints = fingerprints(df, profiled)
+    log = migrations(changes(df, profiled))
+    names = profiled.where("n > 0").groupBy("feed", "file_no").agg(F.array_sort(F.collect_list("field")).alias("names"))
+    files = df.select("feed", "file_no").where("feed is not null and file_no is not null").distinct()
+    rows = files.join(prints, ["feed", "file_no"], "left").join(_current(prints), ["feed", "file_no"], "left").join(names, ["feed", "file_no"], "left").join(log, "feed", "left")
+    later = F.filter("log", lambda x: x["file_no"] > F.col("file_no"))
+    rows = rows.select("feed", "file_no", "fingerprint", F.coalesce("current", F.lit(False)).alias("current"), F.coalesce(F.when(F.col("current"), F.slice("log", 1, 0)).otherwise(later), F.slice("log", 1, 0), F.from_json(F.lit("[]"), log.schema["log"].dataType)).alias("steps"), "names")
+
+    def met(steps: pd.Series, names: pd.Series) -> pd.Series:
+        out = []
+        for log, own in zip(steps, names):
+            renames = [(s["file_no"], _plain(s["field"]), _plain(s["new_field"])) for s in log if s["change"] == "renamed"]
+            to = Counter(apply_steps(renames, -1, _plain(n)) for n in (own if own is not None else ()))
+            out.append(sorted(k for k, n in to.items() if n > 1))
+        return pd.Series(out)
+
+    return rows.withColumn("collisions", F.pandas_udf(met, "array<string>")("steps", "names")).drop("names")
 
 
 def migrations(changed: DataFrame) -> DataFrame:
@@ -332,9 +346,10 @@ class _Steps:
     """What a feed's steps do to the records of one of its files. Paths are without [], so a list and a single object,
     which turn into each other, have the same."""
 
-    def __init__(self, log: list, fields: list, file_no: int):
+    def __init__(self, log: list, fields: list, file_no: int, current: bool = False):
         renames = [(s["file_no"], _plain(s["field"]), _plain(s["new_field"])) for s in log if s["change"] == "renamed"]
-        self.renames = [r for r in renames if r[0] > file_no]
+        # A file with the last fingerprint has the last names: what was renamed since was renamed back.
+        self.renames = [] if current else [r for r in renames if r[0] > file_no]
         self.first = min((s["file_no"] for s in log if s["file_no"] > file_no), default=None)
         last: dict[str, tuple[int, str]] = {}
         for f in fields:
@@ -385,12 +400,13 @@ def consistent(df: DataFrame) -> DataFrame:
     list, other values text, as the feed's last type wants; what cannot be cast stays.
 
     Records that cannot be read keep a row with null fields. Repeated rows count once."""
-    log = migrations(changes(df))
-    top = F.greatest(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("o"), F.lit(t).alias("t")) for i, t in enumerate(TYPES)])["t"]
-    last = profiles(df).where("n > 0").groupBy("feed", "field").agg(F.max_by(top, "file_no").alias("kind"), F.max("file_no").alias("file_no"))
+    profiled = checkpointed(profiles(df))
+    log = migrations(changes(df, profiled))
+    last = profiled.where("n > 0").groupBy("feed", "field").agg(F.max_by(_main_type(), "file_no").alias("kind"), F.max("file_no").alias("file_no"))
     kinds = last.groupBy("feed").agg(F.collect_list(F.struct("field", "kind", "file_no")).alias("kinds"))
+    current = _current(fingerprints(df, profiled))
     once = df.select("infer_id", "feed", "file_no", "fields").where("infer_id is not null").dropDuplicates(["infer_id"])
-    joined = once.join(log.join(kinds, "feed", "full"), "feed", "left").select("infer_id", "feed", "file_no", "fields", "log", "kinds")
+    joined = once.join(log.join(kinds, "feed", "full"), "feed", "left").join(current, ["feed", "file_no"], "left").select("infer_id", "feed", "file_no", "fields", "log", "kinds", F.coalesce("current", F.lit(False)).alias("current"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +416,7 @@ def consistent(df: DataFrame) -> DataFrame:
             for i, at in enumerate(zip(feeds, files)):
                 if at not in steps:
                     log, kinds = [[x for x in batch.column(k)[i].as_py() or [] if x["file_no"] is not None] for k in (4, 5)]
-                    steps[at] = _Steps(log, kinds, at[1] if at[1] is not None else 1 << 30)
+                    steps[at] = _Steps(log, kinds, at[1] if at[1] is not None else 1 << 30, batch.column(6)[i].as_py())
                 record = read_root(texts[i].encode() if texts[i] else None)
                 values = steps[at].record(record) if isinstance(record, dict) else None
                 for k, v in (("infer_id", ids[i]), ("feed", at[0]), ("file_no", at[1]), ("schema_from", steps[at].first), ("fields", None if values is None else list(values.items()))):

@@ -8,40 +8,23 @@ as if it stood there nested.
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import structindex
+from ..functions.jsontext import embedded, loads, locate
 
 #: Texts a call of the index takes at once, in bytes; bounds the memory of a task, not the result.
 BATCH_BYTES = 8 << 20
 
-_BRACKETS = b"{["
-
-
-def _embedded(raw: bytes) -> str | None:
-    """The JSON container that a JSON string literal holds as text, also when it was encoded more than once."""
-    try:
-        value = json.loads(raw)
-        while isinstance(value, str):
-            inner = value.strip()
-            if inner[:1] not in ('"', "{", "["):
-                return None
-            if inner[0] != '"':
-                return inner if isinstance(json.loads(inner), dict | list) else None
-            value = json.loads(inner)
-    except (ValueError, RecursionError):
-        pass
-    return None
-
-
 def _readable(raw: bytes) -> bool:
     try:
-        json.loads(raw)
+        loads(raw)
         return True
-    except (ValueError, RecursionError):
+    except ValueError:
         return False
 
 
@@ -71,9 +54,17 @@ class _Rows:
             for part, x in zip(nxt, (text.encode(), s, path, case, el)):
                 part.append(x)
 
-        for i, t in enumerate(texts):  # a text that is one string literal around JSON
-            if t and not good[i] and t.lstrip()[:1] == b'"' and (inner := _embedded(t)) is not None:
+        objects = np.bincount(ix.text[~ix.is_array], minlength=len(texts)) if len(ix.text) else np.zeros(len(texts), int)
+        for i in np.flatnonzero(~np.array(good, bool) | (objects == 0)).tolist():
+            t = texts[i]
+            if not t:
+                continue
+            if not good[i] and t.lstrip()[:1] == b'"' and (inner := embedded(t)) is not None:  # one string literal around JSON
                 later(inner, src[i], prefix[i], above[i], element[i])
+            elif (span := locate(t)) is not None and span[1] - span[0] + 1 < len(t) and (not good[i] or span != (starts[i] - offs[i], ends[i] - offs[i])):
+                # The first bracket is not where the JSON begins.
+                good[i] = False
+                later(t[span[0] : span[1] + 1].decode("utf-8", "replace"), src[i], prefix[i], above[i], element[i])
         names: dict[tuple[int, int], str] = {}
         decoded: dict[bytes, str] = {}
 
@@ -121,7 +112,7 @@ class _Rows:
             if not good[text_of[o]]:
                 continue
             raw = buf[va:vz].strip()
-            if raw[:1] == b'"' and raw[1:2] in (b"{", b"[", b"\\", b" ") and (inner := _embedded(raw)) is not None:
+            if raw[:1] == b'"' and raw[1:2] in (b"{", b"[", b"\\", b" ") and (inner := embedded(raw)) is not None:
                 base = path[o]
                 later(inner, src[text_of[o]], f"{base}.{key(ka, kz)}" if base else key(ka, kz), case[o], False)
             elif self.attributes:
@@ -130,7 +121,7 @@ class _Rows:
             if not good[text_of[o]]:
                 continue
             raw = buf[va:vz].strip()
-            if raw[:1] == b'"' and raw[1:2] in (b"{", b"[", b"\\", b" ") and (inner := _embedded(raw)) is not None:
+            if raw[:1] == b'"' and raw[1:2] in (b"{", b"[", b"\\", b" ") and (inner := embedded(raw)) is not None:
                 later(inner, src[text_of[o]], f"{path[o]}[{ordinal}]", case[o], True)
             elif self.attributes and raw:
                 self._attribute(slot, ix, path, o, f"[{ordinal}]", raw)
@@ -179,7 +170,8 @@ def linked_rows(df: DataFrame, key: str = "infer_id", text: str = "fields", attr
     `kind` (the path with `[]` for every position: one flat table per kind). With attributes also the root object as
     `$` and `attrs`, a map of the scalars that belong to the row's object, their paths relative to it.
 
-    Null, blank, cut or otherwise unreadable texts give no rows. Text around the JSON is ignored; JSON text inside a
+    Null, blank, cut or otherwise unreadable texts give no rows. Text around the JSON is ignored, with brackets in it too
+    (see functions/jsontext.py); JSON text inside a
     string counts as nested in place. Rows with a repeated key are read once (a key's texts are the same), rows without
     key not at all; of a member given twice in one object the last counts for attributes. Other
     columns of df are dropped first, so their names cannot clash. An empty table gives an empty table.

@@ -30,6 +30,11 @@ def p2_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return drift.fingerprints(table(spark, d, "schema_inferences", "infer_id", "feed", "file_no", "fields"))
 
 
+def p2_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each file has its feed's last schema, and else the steps to it."""
+    return drift.routes(table(spark, d, "schema_inferences", "infer_id", "feed", "file_no", "fields"))
+
+
 def p2_consistent(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent(table(spark, d, "schema_inferences", "infer_id", "feed", "file_no", "fields"))
 
@@ -60,5 +65,5 @@ def p4_units(spark: SparkSession, d: str) -> DataFrame:
     return _money(spark, d).groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.col("brl_cents").cast("decimal(38,0)")).cast("string").alias("brl_cents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p1_kinds, p2_found, p2_fingerprints, p2_consistent, p3_found, p3_status, p4_found, p4_units)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p1_kinds, p2_found, p2_fingerprints, p2_routes, p2_consistent, p3_found, p3_status, p4_found, p4_units)}
 SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioflow.functions import structindex
+from folioflow.functions import jsontext, structindex
 from folioflow.records import dates, drift, money, nested, units
 
 # Nested ----------------------------------------------------------------------------------------------------------------
@@ -268,3 +268,35 @@ def test_time_is_utc_in_any_session(spark, zones):
         assert [got[i].stamp for i in range(3)] == ["2020-01-02T00:00:00.000000Z", (datetime(1970, 1, 1) + timedelta(seconds=1577934000)).strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "2020-01-01T13:00:00.000000Z"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+DECOYS = ['note [1]: {"a":[{"b":1}]}', 'see {x}: {"a":[{"b":1}]}', 'say "hi {" now {"a":[{"b":1}]}', '[2] [x] {"a":[{"b":1}]} and {more', '```json\n{"a":[{"b":1}]}\n```']
+BROKEN_JSON = ['{"a":[{"b":1}],"c":[{"d"', '{"a":1 "b":[{"c":2}]}', "{'a':[{'b':1}]}", "{{{{[", "no json [here", ""]
+
+
+def test_json_behind_other_brackets(spark):
+    rows = [(k, "f", k, t) for k, t in enumerate(DECOYS + BROKEN_JSON)]
+    df = spark.createDataFrame(rows, "infer_id bigint, feed string, file_no int, fields string")
+    assert sorted((r.infer_id, r.node, r.parent_node) for r in nested.linked_rows(df).collect()) == [(k, "a[0]", "$") for k in range(len(DECOYS))]
+    assert [jsontext.read(t.encode()) for t in DECOYS] == [{"a": [{"b": 1}]}] * len(DECOYS)
+    assert [jsontext.read(t.encode()) for t in BROKEN_JSON] == [None] * len(BROKEN_JSON)
+    assert drift.fingerprints(df).select("fingerprint").distinct().count() == 1
+
+
+def test_routes_of_files(spark):
+    files = [{"old_name": 1, "x": "k"}, {"name_old": 1, "x": "k"}, {"name_old": 1, "x": "k", "y": True}, {"name_old": 2, "x": "k", "y": False}]
+    df = spark.createDataFrame([(k * 10 + j, "f", k, json.dumps(f)) for k, f in enumerate(files) for j in range(3)] + [(99, "f", 7, None)], "infer_id bigint, feed string, file_no int, fields string")
+    got = {r.file_no: r for r in drift.routes(df.where("infer_id < 99")).collect()}
+    assert [got[k].current for k in range(4)] == [False, False, True, True] and got[3].steps == [] and got[2].steps == []
+    assert [(s.file_no, s.change) for s in got[0].steps] == [(1, "renamed"), (2, "added")] and got[0].collisions == []
+    assert {r.file_no: r.fingerprint for r in drift.routes(df).collect()}[7] is None
+    assert drift.routes(df.limit(0)).count() == 0
+
+
+def test_mixture_of_an_origin_without_zone(spark):
+    """Its own clear dates settle the order where no table names it; too few leave it open."""
+    clear = [(k, f"{13 + k % 15}/0{1 + k % 9}/2024", "Atlantis") for k in range(200)]
+    df = spark.createDataFrame([*clear, (900, "03/04/2024", "Atlantis"), (901, "03/04/2024", "Mu"), (902, "03/04/2024", None), (903, "03/04/2024 10:00", "Atlantis")], "mention_id bigint, original string, origin string")
+    zones = spark.createDataFrame([("SP", "America/Sao_Paulo", True)], "origin string, zone_name string, day_first boolean")
+    got = {r.mention_id: (r.stamp, r.status) for r in dates.normalise(df, zones).where("mention_id >= 900").collect()}
+    assert got == {900: ("2024-04-03", "date"), 901: (None, "ambiguous"), 902: (None, "ambiguous"), 903: (None, "no_zone")}
