@@ -250,7 +250,54 @@ def test_answers_are_read_or_repaired(answer, value):
 
 def test_answers_without_object():
     assert answers.read("sem dados")["_error"] == "No JSON object found" and answers.read('{"title":"t"')["_error"] == "No valid JSON found" and answers.read(None)["_error"] == "No JSON object found"
-    assert answers.salvage('{"title": "a\\"b", "schema": {"x": [1, 2, "date": null, "summary": 12') == {"title": 'a"b', "date": None, "summary": 12}
+    assert answers.repaired('{"title": "a\\"b", "schema": {"x": [1, 2, "date": null, "summary": 12,') == {"title": 'a"b', "date": None, "summary": 12}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=12), st.data())
+def test_longest_part_of_a_cut_value_is_json(value, data):
+    text = json.dumps(value)
+    assert json.loads(answers.longest(text + " x")) == value
+    part = answers.longest(text[: data.draw(st.integers(0, len(text)))])
+    assert part is None or json.dumps(json.loads(part)) is not None
+
+
+def test_infer(spark):
+    texts = spark.createDataFrame([("a", "Contrato de locação\n\nPágina 1"), ("b", "nada"), ("c", "erro"), ("d", None)], "doc_id string, text string")
+    good = json.dumps({"documentType": "contrato", "title": "t", "summary": "s", "schema": {"sections": [1, 2]}, "extractedData": {"x": 1}})
+
+    class Model:
+        def __init__(self):
+            self.calls = 0
+
+        def __call__(self, prompt):
+            self.calls += 1
+            if "Contrato" in prompt and self.calls < 3:
+                raise answers.RateLimited("slow down")
+            if "erro" in prompt:
+                raise ValueError("down")
+            return f"```json\n{good}\n```" if "Contrato" in prompt else "sem dados"
+
+    known = spark.createDataFrame([("b", "ata")], "doc_id string, document_type string")
+    got = {r.doc_id: r for r in answers.infer(texts.coalesce(1), Model(), known, prompt="leia: {document_text}", delay=0.01, model="m").collect()}
+    assert (got["a"].schema_inferred, got["a"].document_type, got["a"].confidence) == (True, "contrato", 0.7) and json.loads(got["a"].fields)["_meta"]["source"] == "a"
+    assert (got["b"].schema_inferred, got["b"].document_type, got["b"].confidence) == (False, "ata", 0.0) and json.loads(got["b"].fields)["_error"] == "No JSON object found"
+    assert json.loads(got["c"].fields)["_error"] == "ValueError: down" and got["c"].document_type == "unknown" and got["d"].document_type == "unknown"
+
+
+def test_dictionary_forms(spark, tmp_path):
+    rows = [("a", True, "ata", 0.5, '{"title": "t"}', "m", "2.0"), ("b", False, "unknown", 0.0, "{}", "m", "2.0"), ("c", True, "ata", 0.5, '{"x": {"y": [1]}}', None, "1.0"), ("d", False, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, schema_inferred boolean, document_type string, confidence double, fields string, inference_model string, schema_version string")
+    got = {r.doc_id: json.loads(r.dictionary) for r in answers.as_dictionary(df).collect()}
+    assert got["a"] == {"title": "t", "_processing": {"schema_version": "2.0", "inference_model": "m", "confidence": 0.5, "schema_inferred": True}}
+    assert got["b"] == {"_schema_inferred": False, "_document_type": "unknown", "_schema_version": "2.0", "_inference_model": "m", "_confidence": 0.0}
+    assert got["c"]["x"] == {"y": [1]} and got["c"]["_inference_model"] is None and got["d"]["_document_type"] is None
+    assert {r.doc_id: r.y for r in answers.lookup(df, y="x.y").collect()} == {"a": None, "b": None, "c": "[1]", "d": None}
+    own = tmp_path / "p.md"
+    own.write_text("x {document_text}")
+    assert answers.load_prompt(str(own)) == "x {document_text}" and answers.load_prompt(None) == answers.PROMPT
+    own.write_text("no place")
+    assert answers.load_prompt(str(own)) == answers.PROMPT
 
 
 def test_confidence_type_and_completion(spark):
@@ -267,7 +314,7 @@ def test_backends(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
     got = [r.answer for r in answers.ask(df, F.col("p"), answers.Replay({"a": "{}"})).collect()]
     assert got == ["{}", None, None]
-    assert [r.answer for r in answers.ask(df, F.col("p"), answers.silent).collect()] == [None] * 3
+    assert [(r.answer, r.answer_error) for r in answers.ask(df, F.col("p"), answers.silent).collect()] == [(None, None)] * 3
 
 
 def test_elements_of_answers(spark):
