@@ -22,6 +22,8 @@ PAGE_NUMBERS = (
     rf"\n[{WS}]*\d+[{WS}]*/[{WS}]*\d+[{WS}]*\n",
     rf"\n[{WS}]*\d{{1,4}}[{WS}]*\n",
 )
+#: Numeric dates with the places of year, month and day, in the order in which they are tried.
+DATE_PATTERNS = ((r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 2, 1)), (r"(\d{1,2})-(\d{1,2})-(\d{4})", (3, 2, 1)), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3)))
 TRUNCATED = "\n\n[... documento truncado ...]"
 UNITS = ("B", "KB", "MB", "GB", "TB")
 
@@ -51,7 +53,7 @@ def collapse(x: Column | str) -> Column:
 
 
 def compatible(x: Column | str) -> Column:
-    """Compatibility form (NFKC), then collapsed. Only texts with non-ASCII characters visit Python, in Arrow batches."""
+    """Compatibility form (NFKC), then collapsed. Visits Python in Arrow batches, where ASCII texts stay as they are."""
 
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
@@ -141,16 +143,24 @@ def compact_space(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{3,}", "\n\n")
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x evaluated once, however often it stands in use."""
+    return F.transform(F.array(x), use)[0]
+
+
 def without_repeated_lines(x: Column | str) -> Column:
-    """A line like the one before (empty ones aside) vanishes; empty lines stay."""
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    """A line like the one before (empty ones aside) vanishes; empty lines stay. Linear in the lines but for one sort."""
+    rows = F.transform(F.split(c(x), "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"), strip(line).alias("t")))
+
+    def kept(full: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(full, lambda r: r["t"]))
+        return F.filter(F.zip_with(full, F.slice(before, F.lit(1), F.size(full)), lambda r, p: F.when(p.isNull() | (p != r["t"]), r)), lambda r: r.isNotNull())
 
-    def step(a: Column, line: Column) -> Column:
-        s = strip(line)
-        keep = a["last"].isNull() | (s != a["last"]) | (s == "")
-        return F.struct(F.when(keep, F.concat(a["out"], F.array(line))).otherwise(a["out"]).alias("out"), F.when(s != "", s).otherwise(a["last"]).alias("last"))
+    def joined(all_rows: Column) -> Column:
+        empty = F.filter(all_rows, lambda r: r["t"] == "")
+        return F.array_join(F.transform(F.array_sort(F.concat(empty, let(F.filter(all_rows, lambda r: r["t"] != ""), kept))), lambda r: r["line"]), "\n")
 
-    return F.aggregate(F.split(c(x), "\n"), empty, step, lambda a: F.array_join(a["out"], "\n"))
+    return F.when(c(x).isNotNull(), let(rows, joined))
 
 
 def plain_punctuation(x: Column | str) -> Column:
@@ -225,7 +235,7 @@ def date_br(x: Column | str) -> Column:
     """The first numeric date as year-month-day without a check that it exists: day first with slashes, else with
     hyphens, else year first."""
     out = None
-    for p, (y, m, d) in ((r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 2, 1)), (r"(\d{1,2})-(\d{1,2})-(\d{4})", (3, 2, 1)), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3))):
+    for p, (y, m, d) in DATE_PATTERNS:
         g = lambda i, p=p: F.regexp_extract(c(x), p, i)
         hit = F.concat_ws("-", g(y), F.lpad(g(m), 2, "0"), F.lpad(g(d), 2, "0"))
         out = F.when(c(x).rlike(p), hit) if out is None else out.when(c(x).rlike(p), hit)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import MONTHS, WS
 from ..inference import elements
 
+# Patterns of dates, amounts and numbers.
 DATE = r"(?U)\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})\b"
 DATE_WORDS = rf"(?iU)\b(\d{{1,2}})[{WS}]+de[{WS}]+({'|'.join(MONTHS)})[{WS}]+de[{WS}]+(\d{{4}})\b"
 MONEY = {"BRL": ("R$", rf"R\$[{WS}]*([\d.,]+)"), "USD": ("US$", rf"US\$[{WS}]*([\d.,]+)")}

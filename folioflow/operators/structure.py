@@ -91,18 +91,18 @@ def is_table_row(x: Column) -> Column:
 
 
 def table_runs(x: Column) -> Column:
-    """Runs of at least two table-like lines of a text, each an array of its lines; a fold, so nothing is shuffled."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("runs"), empty.alias("run"))
+    """Runs of at least two table-like lines of a text, each an array of its lines. Lines next to each other have the same
+    distance between their number and their rank among such lines; runs are cut where it changes. Nothing is shuffled."""
+    rows = F.transform(F.split(x, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    hits = F.transform(F.filter(rows, lambda r: is_table_row(r["line"])), lambda r, k: F.struct(r["line"].alias("line"), (r["i"] - k).alias("run")))
 
-    def close(a: Column) -> Column:
-        return F.when(F.size(a["run"]) >= 2, F.concat(a["runs"], F.array(a["run"]))).otherwise(a["runs"])
+    def cut(h: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.transform(h, lambda r: r["run"]))
+        flags = F.zip_with(F.transform(h, lambda r, k: F.struct(r["run"].alias("run"), (k + 1).alias("at"))), F.slice(before, F.lit(1), F.size(h)), lambda r, p: F.when(r["run"] != p, r["at"]))
+        starts = F.filter(flags, lambda a: a.isNotNull())
+        return X.let(starts, lambda s: F.filter(F.zip_with(s, F.concat(F.slice(s, 2, 1 << 30), F.array(F.size(h) + 1)), lambda a, z: F.when(z - a >= 2, F.transform(F.slice(h, a, z - a), lambda r: r["line"]))), lambda r: r.isNotNull()))
 
-    def step(a: Column, line: Column) -> Column:
-        row = is_table_row(line)
-        return F.struct(F.when(row, a["runs"]).otherwise(close(a)).alias("runs"), F.when(row, F.concat(a["run"], F.array(line))).otherwise(empty).alias("run"))
-
-    return F.aggregate(F.split(x, "\n"), start, step, close)
+    return X.let(hits, lambda h: F.when(F.size(h) >= 2, cut(h)).otherwise(F.array().cast("array<array<string>>")))
 
 
 def cells(lines: Column) -> Column:
@@ -127,6 +127,7 @@ def tables(pages: DataFrame) -> DataFrame:
     )
 
 
+# How formulas are written.
 EQUATIONS = (r"\$\$(.+?)\$\$", r"\$(.+?)\$", r"\\begin\{equation\}(.+?)\\end\{equation\}", r"\\begin\{align\}(.+?)\\end\{align\}")
 
 

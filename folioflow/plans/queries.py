@@ -180,7 +180,7 @@ def page_mentions(spark, d):
 
 def _date_sql(x: str) -> str:
     cases = []
-    for p, (y, m, dd) in ((r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 2, 1)), (r"(\d{1,2})-(\d{1,2})-(\d{4})", (3, 2, 1)), (r"(\d{4})-(\d{1,2})-(\d{1,2})", (1, 2, 3))):
+    for p, (y, m, dd) in X.DATE_PATTERNS:
         g = lambda i, p=p: f"regexp_extract({x}, '{p}', {i})"
         cases.append(f"WHEN regexp_matches({x}, '{p}') THEN {g(y)} || '-' || lpad({g(m)}, 2, '0') || '-' || lpad({g(dd)}, 2, '0')")
     return f"CASE {' '.join(cases)} END"

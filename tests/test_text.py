@@ -1,94 +1,70 @@
-"""Text functions against plain Python."""
+"""Text functions by fixed cases and by what must hold of any text."""
 
-import re
+import json
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-
-TEXTS = [
-    None, "", " ", "a", "Olá. Tudo bem? SIM! não. Ótimo", "x\n\n\n\ny  \t z ", "- 3 -\n", "a\n - 3 - \nb\nPágina 3 de 9\nc\n 3/9 \nd\n17\ne\nPage 4\nf", "a-\nb c-\n  ço", "a\n\na\nb\nb \n b\nc", "1. x\n  • y\n 2)z", "wait.... --- ____ , no – yes — !",
-    "A" * 120, "word " * 300, "First. " * 120, "p\n\n" * 300, "LEI Nº 10", "OBJETO", "1.2 Escopo", "3.14 é pi", "Title of it all\nbody.", "x\r\ny\rz", "\x00\x1fa\x7f\x85b", " pad　", "pág. 3 e página 17, p.5", "fi", " a  b", "😀 one. Two", "héllo-\nwörld",
-]
-WS = r"[\s\x1c-\x1f\x85\xa0]"
-
-
-def py_sentences(t):
-    return [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-ZÁÀÂÃÉÈÊÍÏÓÔÕÖÚÇÑ])", t or "") if s.strip()]
-
-
-def py_dedup(t):
-    out, last = [], None
-    for line in t.split("\n"):
-        s = line.strip()
-        if s != last or s == "":
-            out.append(line)
-            last = s or last
-    return "\n".join(out)
-
-
-def py_numbers(t):
-    for p in (r"\n\s*[-–—]\s*\d+\s*[-–—]\s*\n", r"\n\s*[Pp]ágina\s+\d+\s*(de\s+\d+)?\s*\n", r"\n\s*[Pp]age\s+\d+\s*(of\s+\d+)?\s*\n", r"\n\s*\d+\s*/\s*\d+\s*\n", r"\n\s*\d{1,4}\s*\n"):
-        t = re.sub(p, "\n", t)
-    return t
-
-
-def py_truncate(t, limit):
-    if len(t) <= limit:
-        return t
-    cut = t[:limit]
-    stop = max(cut.rfind(m + e) for m in ".?!" for e in " \n")
-    if stop > limit * 0.7:
-        cut = cut[: stop + 1]
-    elif (para := cut.rfind("\n\n")) > limit * 0.5:
-        cut = cut[:para]
-    return cut + X.TRUNCATED
-
-
-def py_words(t, limit):
-    if len(t) <= limit:
-        return t
-    cut = t[: limit - 3]
-    space = cut.rfind(" ")
-    return (cut[:space] if space > limit // 2 else cut) + "..."
+from folioflow.operators import structure
+
+# function, text, result
+FIXED = {
+    "strip": (X.strip, [(" pad　", "pad"), ("\x1fa\x85", "a"), ("", ""), (None, None)]),
+    "sentences": (X.sentences, [("Olá. Tudo bem? SIM! não. Ótimo", ["Olá.", "Tudo bem?", "SIM! não.", "Ótimo"]), ("😀 one. Two", ["😀 one.", "Two"]), ("no end", ["no end"]), ("  ", []), (None, [])]),
+    "repeated lines": (X.without_repeated_lines, [("a\n\na\nb\nb \n b\nc", "a\n\nb\nc"), ("a\n\n\na", "a\n\n"), ("", ""), ("x\ny\nx", "x\ny\nx"), (None, None)]),
+    "page numbers": (
+        X.without_page_numbers,
+        [("a\n - 3 - \nb", "a\nb"), ("b\nPágina 3 de 9\nc", "b\nc"), ("c\n 3/9 \nd", "c\nd"), ("d\n17\ne", "d\ne"), ("e\nPage 4\nf", "e\nf"), ("a\n12345\nb", "a\n12345\nb"), ("- 3 -\n", "- 3 -\n"), (None, None)],
+    ),
+    "truncated": (
+        lambda x: X.smart_truncate(x, 20),
+        [("short", "short"), ("One two three four. Five six", "One two three four." + X.TRUNCATED), ("aaaaaaaaaaaa\n\nbbbbbbbbbbbb", "aaaaaaaaaaaa" + X.TRUNCATED), ("a" * 25, "a" * 20 + X.TRUNCATED), ("ab. cdefghijklmnopqrstuvw", "ab. cdefghijklmnopqr" + X.TRUNCATED), (None, None)],
+    ),
+    "words": (lambda x: X.truncate_words(x, 13), [("one two three four", "one two..."), ("fits exactly!", "fits exactly!"), ("abcdefghijklmnop", "abcdefghij..."), ("a bcdefghijklmnop", "a bcdefghi..."), (None, None)]),
+    "level": (X.heading_level, [("1.2 Escopo", 1), ("3.14 é pi", 1), ("1. Ver art. 5.", 3), ("1.1.1.1.1.1.1.1. x", 6), ("OBJETO", 1), ("LEI Nº 10", None), ("Objeto", None), ("A" * 100, None), ("42", None), (None, None)]),
+    "hyphens": (X.merge_hyphenated, [("a-\nb c-\n  ço", "ab cço"), ("héllo-\nwörld", "héllowörld"), ("well-known", "well-known"), (None, None)]),
+    "collapse": (X.collapse, [("x\n\n\ty  　 z ", "x y z"), (" ", ""), (None, None)]),
+    "clean": (X.clean, [("\x00\x1fa\x7f\x85b\tc\nd\re", "ab\tc\nd\re"), (None, None)]),
+    "mentions": (X.page_mentions, [("pág. 3 e página 17, P.5", [3, 17, 5]), ("nada", []), ("p. 99999999999", [None]), (None, None)]),
+    "lists": (X.compact_lists, [("x\n  • y\n 2)z", "x\n- y\n2) z"), ("• y", "• y"), (None, None)]),
+    "punctuation": (X.plain_punctuation, [("wait.... --- ____ , no – yes — !", "wait... -- __, no - yes -!"), (None, None)]),
+    "space": (X.compact_space, [("a \t b  \n\n\n\n  c", "a b\n\nc"), (None, None)]),
+    "unix": (X.unix_lines, [("x\r\ny\rz", "x\ny\nz"), (None, None)]),
+    "tables": (structure.table_runs, [("a|b|c\n1||3\nx\na|b|c\ny\n\t\t\n2\t3\t4", [["a|b|c", "1||3"], ["\t\t", "2\t3\t4"]]), ("a|b|c", []), ("", []), ("a  b  c  d\na  b  c  d", [["a  b  c  d", "a  b  c  d"]])]),
+}
 
 
-def py_level(t):
-    t = t.strip()
-    if re.match(r"^([0-9]+\.)+\s*[0-9]*\.?\s*", t):
-        return min(t.count("."), 6)
-    return 1 if len(t) < 100 and t.isupper() else None
+@pytest.mark.parametrize("name", FIXED)
+def test_fixed_cases(spark, name):
+    column, cases = FIXED[name]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.v for r in df.select("i", column(F.col("t")).alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
 
 
-CASES = {
-    "strip": (X.strip, str.strip),
-    "sentences": (X.sentences, py_sentences),
-    "dedup": (X.without_repeated_lines, py_dedup),
-    "numbers": (X.without_page_numbers, py_numbers),
-    "truncate": (lambda x: X.smart_truncate(x, 100), lambda t: py_truncate(t, 100)),
-    "words": (lambda x: X.truncate_words(x, 40), lambda t: py_words(t, 40)),
-    "level": (X.heading_level, py_level),
-    "hyphen": (X.merge_hyphenated, lambda t: re.sub(r"(\w+)-\s*\n\s*(\w+)", r"\1\2", t)),
-    "collapse": (X.collapse, lambda t: re.sub(r"\s+", " ", t).strip()),
-    "clean": (X.clean, lambda t: re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", t)),
-    "mentions": (X.page_mentions, lambda t: [int(n) for n in re.findall(r"(?:página|pág\.?|pg\.?|p\.)\s*(\d+)", t, re.I)]),
-    "lists": (X.compact_lists, lambda t: re.sub(r"\n\s*(\d+[.)])\s*", r"\n\1 ", re.sub(r"\n\s*[-•●○]\s*", "\n- ", t))),
-}
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="aB é.!?-–\n\t|1•)", max_size=120), min_size=20, max_size=40))
+def test_what_holds_of_any_text(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    once = {"lines": X.without_repeated_lines, "space": X.compact_space, "collapse": X.collapse, "clean": X.clean}
+    cols = {f"{k}{n}": f("t") if n == 1 else f(f("t")) for k, f in once.items() for n in (1, 2)}
+    rows = df.select("t", *[v.alias(k) for k, v in cols.items()], X.sentences("t").alias("s"), X.smart_truncate("t", 50).alias("cut"), X.truncate_words("t", 40).alias("words"), structure.table_runs(F.col("t")).alias("runs")).collect()
+    for r in rows:
+        assert all(r[f"{k}1"] == r[f"{k}2"] for k in once)  # done twice changes nothing more
+        assert set(r["lines1"].split("\n")) <= set(r.t.split("\n")) and r["lines1"].count("\n") <= r.t.count("\n")
+        assert "".join("".join(r.s).split()) == "".join(r.t.split()) and all(x and x == x.strip() for x in r.s)
+        assert len(r.cut) <= 50 + len(X.TRUNCATED) and r.cut.removesuffix(X.TRUNCATED) == r.t[: len(r.cut.removesuffix(X.TRUNCATED))]
+        assert len(r.words) <= 40 and all(len(run) >= 2 for run in r.runs) and "\n".join(r.t.split("\n")) == r.t
 
 
-@pytest.mark.parametrize("name", CASES)
-def test_like_python(spark, name):
-    column, plain = CASES[name]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
-    got = {r.i: r.v for r in df.select("i", column("t").alias("v")).collect()}
-    for i, t in enumerate(TEXTS):
-        if t is None:
-            assert not got[i]
-        elif name == "level" and t == "\x00\x1fa\x7f\x85b":
-            continue
-        else:
-            assert got[i] == plain(t), (name, t)
+def test_many_lines_in_linear_time(spark):
+    text = "\n".join(f"a|{k // 2}|c" if k % 5 else "" for k in range(60_000))
+    df = spark.createDataFrame([(text,)], "t string")
+    got = df.select(F.length(X.without_repeated_lines("t")).alias("n"), F.size(structure.table_runs(F.col("t"))).alias("k")).first()
+    assert 0 < got.n < len(text) and got.k == 12_000
 
 
 def test_small_functions(spark):
@@ -104,7 +80,7 @@ def test_small_functions(spark):
     assert (one(value), one(code)) == (1234.5, "USD")
     assert one(X.compatible(lit("ﬁm  Ⅳ"))) == "fim IV" and one(X.compatible(lit(None).cast("string"))) is None
     assert one(X.likely_title(lit("short\nThis is a title\nx"))) == "This is a title"
-    assert one(X.tokens(lit(None).cast("string"))) == 0
+    assert one(X.tokens(lit(None).cast("string"))) == 0 and json.loads(one(F.to_json(F.struct(X.tokens(lit("12345678")).alias("n")))))["n"] == 2
 
 
 def test_repeated_edges_and_whole_chain(spark):
