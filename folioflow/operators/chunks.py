@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.runtime import checkpointed, settled
 
 SIZE, OVERLAP, MOST = 500, 50, 2000
 TABLE_ROWS = 20
@@ -45,12 +46,21 @@ def split(x: Column | str, size: int = SIZE, overlap: int = OVERLAP, most: int =
     return F.aggregate(_units(X.c(x), most), start, step, lambda a: F.when(F.size(a["cur"]) > 0, push(a, "\n\n")).otherwise(a["done"]))
 
 
+def _parts(size: int, overlap: int, most: int) -> Column:
+    """A section's chunks: its content if that fits, else its pieces; none without content."""
+    content = F.col("_stripped")
+    return F.when(X.tokens(content) <= size, F.when(content != "", F.array(content)).otherwise(F.array().cast("array<string>"))).otherwise(split(content, size, overlap, most))
+
+
+def _cut(sections: DataFrame, size: int, overlap: int, most: int) -> DataFrame:
+    """sections with `parts`, their chunks."""
+    return settled(settled(sections.withColumn("_stripped", X.strip("content"))).withColumn("parts", _parts(size, overlap, most)).drop("content", "_stripped"))
+
+
 def of_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
     """doc_id, path, part, section_id, section_title, page, text, token_count, has_table: one chunk per section that fits,
     else its pieces; none for a section without content."""
-    content = X.strip("content")
-    parts = F.when(X.tokens(content) <= size, F.when(content != "", F.array(content)).otherwise(F.array().cast("array<string>"))).otherwise(split(content, size, overlap, most))
-    rows = sections.select("doc_id", "path", F.col("id").alias("section_id"), F.col("full_title").alias("section_title"), "page", (F.size("tables_refs") > 0).alias("has_table"), F.posexplode(parts).alias("part", "text"))
+    rows = _cut(sections, size, overlap, most).select("doc_id", "path", F.col("id").alias("section_id"), F.col("full_title").alias("section_title"), "page", (F.size("tables_refs") > 0).alias("has_table"), F.posexplode("parts").alias("part", "text"))
     return rows.select("doc_id", "path", "part", "section_id", "section_title", "page", "text", X.tokens("text").alias("token_count"), "has_table")
 
 
@@ -75,9 +85,18 @@ def of_tables(tables: DataFrame) -> DataFrame:
 def generate(sections: DataFrame, tables: DataFrame, size: int = SIZE, overlap: int = OVERLAP, most: int = MOST) -> DataFrame:
     """All chunks of every file, sections depth first, then tables: doc_id, chunk_index (from 0), id, section_id,
     section_title, page, text, token_count, has_table, has_figure."""
-    body = of_sections(sections, size, overlap, most).withColumn("_o", F.lit(0)).withColumn("_no", F.lit(0))
-    extra = of_tables(tables).select("*", F.lit(1).alias("_o"), F.col("table_no").alias("_no"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("part")).drop("table_no")
-    every = body.unionByName(extra)
-    index = F.row_number().over(W.partitionBy("doc_id").orderBy("_o", "path", "part", "_no")) - 1
-    every = every.withColumn("chunk_index", index)
-    return every.select("doc_id", "chunk_index", F.format_string("chunk_%04d", "chunk_index").alias("id"), "section_id", "section_title", "page", "text", "token_count", "has_table", F.lit(False).alias("has_figure"))
+    # Pieces are cut once and written; only their counts are ordered within a file, never texts.
+    cut = _cut(sections, size, overlap, most).where("size(parts) > 0")
+    cut = checkpointed(cut.select("doc_id", "path", F.col("id").alias("section_id"), F.col("full_title").alias("section_title"), "page", (F.size("tables_refs") > 0).alias("has_table"), "parts"))
+    sums = cut.select("doc_id", "path", F.size("parts").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select("doc_id", "path", before.alias("first"))
+    body = cut.join(offsets, ["doc_id", "path"]).select("doc_id", "section_id", "section_title", "page", "has_table", "first", F.posexplode("parts").alias("part", "text"))
+    body = body.withColumn("chunk_index", (F.col("first") + F.col("part")).cast("int")).withColumn("token_count", X.tokens("text"))
+    extra = of_tables(tables)
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("table_no")) - 1
+    nth = extra.select("doc_id", "table_no").withColumn("rank", rank).join(sums.groupBy("doc_id").agg(F.sum("n").alias("all")), "doc_id", "left")
+    extra = extra.join(nth.select("doc_id", "table_no", (F.col("rank") + F.coalesce("all", F.lit(0))).cast("int").alias("chunk_index")), ["doc_id", "table_no"])
+    columns = ["doc_id", "chunk_index", "section_id", "section_title", "page", "text", "token_count", "has_table"]
+    every = body.select(columns).unionByName(extra.select(columns))
+    return every.select("doc_id", "chunk_index", F.format_string("chunk_%04d", "chunk_index").alias("id"), *columns[2:], F.lit(False).alias("has_figure"))

@@ -1,11 +1,13 @@
 """Sections, their hierarchy and content, metadata, summary, routing and confidence."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.runtime import checkpointed
-from .structure import PAGE
+from .structure import PAGE, numbered
 
 LEVELS = 6
 
@@ -23,27 +25,47 @@ def parents(heads: DataFrame) -> DataFrame:
     return rows.withColumn("parent_seq", choice).drop("_epoch", *[f"_p{k}" for k in last])
 
 
+LINEAGE = "doc_id string, page int, seq int, title string, level int, parent_seq int, path array<int>, full_title string"
+
+
+def lineage(heads: DataFrame) -> DataFrame:
+    """doc_id, page, seq, title, level, parent_seq, path (seq of the ancestors and its own; sorting by it is depth first)
+    and full_title (titles of the ancestors and its own) of headings (doc_id, page, seq, text, level).
+
+    A fold over the headings of one file since its last heading of level 1; it holds one open heading per level."""
+    rows = numbered(heads.select(*PAGE, "seq", "text", "level"), "epoch", "seq", of=F.when(F.col("level") == 1, 1).otherwise(0))
+    rows = rows.repartition("doc_id", "epoch").sortWithinPartitions("doc_id", "epoch", "seq").select("doc_id", "epoch", "page", "seq", "text", "level")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_at = None, {}
+        for batch in batches:
+            parents, paths, titles = [], [], []
+            for doc, epoch, _, seq, text, level in zip(*[c.to_pylist() for c in batch.columns]):
+                if (doc, epoch) != at:
+                    at, open_at = (doc, epoch), {}
+                up = open_at.get(max((k for k in open_at if k < level), default=0), ((), ()))
+                own = ((*up[0], seq), (*up[1], text))
+                open_at[level] = own
+                parents.append(up[0][-1] if up[0] else None)
+                paths.append(own[0])
+                titles.append(" > ".join(own[1]))
+            keep = [batch.column(i) for i in (0, 2, 3, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(parents, pa.int32()), pa.array(paths, pa.list_(pa.int32())), pa.array(titles, pa.string())], names=["doc_id", "page", "seq", "title", "level", "parent_seq", "path", "full_title"])
+
+    return rows.mapInArrow(fold, LINEAGE)
+
+
 def sections(heads: DataFrame, paras: DataFrame, tables: DataFrame) -> DataFrame:
-    """One section per heading: doc_id, seq, id (sec_0, ...), title, level, page, parent_seq, path (seq of the ancestors
-    and its own; sorting by it is depth first), full_title (titles of the ancestors and its own), content, tables_refs.
+    """One section per heading: doc_id, seq, id (sec_0, ...), title, level, page, parent_seq, path, full_title (see
+    lineage()), content, tables_refs. paras: paragraphs, or the content of each page.
 
     Every heading gets all paragraphs of its page. Files without headings but with paragraphs get one section
-    `Documento` with all of them. A level is at most 6, so ancestors are joined at most five times."""
-    tree = parents(heads.select(*PAGE, "seq", "text", "level"))
-    # Written once: the ancestors are joined from it again and again, and it holds headings only.
-    tree = checkpointed(tree.select(*PAGE, "seq", F.col("text").alias("title"), "level", "parent_seq"))
-    here = tree.select(*tree.columns, F.col("parent_seq").alias("_up"), F.array("seq").alias("path"), F.array("title").alias("titles"))
-    links = tree.select("doc_id", F.col("seq").alias("_up"), F.col("title").alias("_title"), F.col("parent_seq").alias("_next"))
-    for _ in range(LEVELS - 1):
-        here = here.join(links, ["doc_id", "_up"], "left").select(
-            *tree.columns, F.col("_next").alias("_up"),
-            F.when(F.col("_title").isNotNull(), F.concat(F.array("_up"), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("_title").isNotNull(), F.concat(F.array("_title"), "titles")).otherwise(F.col("titles")).alias("titles"),
-        )
+    `Documento` with all of them."""
+    here = lineage(heads)
     refs = tables.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("table_no", "id"))), lambda t: t["id"]).alias("tables_refs"))
     out = here.join(page_content(paras), [*PAGE], "left").join(refs, [*PAGE], "left")
     out = out.select(
-        "doc_id", "seq", F.concat(F.lit("sec_"), F.col("seq") - 1).alias("id"), "title", "level", "page", "parent_seq", "path", F.array_join("titles", " > ").alias("full_title"),
+        "doc_id", "seq", F.concat(F.lit("sec_"), F.col("seq") - 1).alias("id"), "title", "level", "page", "parent_seq", "path", "full_title",
         F.coalesce("content", F.lit("")).alias("content"), F.coalesce("tables_refs", F.array().cast("array<string>")).alias("tables_refs"),
     )
     return out.unionByName(untitled(heads, paras))
@@ -54,14 +76,14 @@ def _in_order(*cols: str) -> Column:
 
 
 def page_content(paras: DataFrame) -> DataFrame:
-    """doc_id, page, content: the paragraphs of a page with empty lines between."""
-    return paras.groupBy(*PAGE).agg(_in_order("para_no").alias("content"))
+    """doc_id, page, content: the paragraphs of a page with empty lines between; contents stay as they are."""
+    return paras if "content" in paras.columns else paras.groupBy(*PAGE).agg(_in_order("para_no").alias("content"))
 
 
 def untitled(heads: DataFrame, paras: DataFrame) -> DataFrame:
     """The one section of each file without headings, with all its paragraphs."""
-    bare = paras.join(heads.select("doc_id").distinct(), "doc_id", "left_anti")
-    rows = bare.groupBy("doc_id").agg(_in_order("page", "para_no").alias("content"))
+    bare = page_content(paras).join(heads.select("doc_id").distinct(), "doc_id", "left_anti").withColumnRenamed("content", "text")
+    rows = bare.groupBy("doc_id").agg(_in_order("page").alias("content"))
     none = F.array().cast("array<string>")
     return rows.select(
         "doc_id", F.lit(1).alias("seq"), F.lit("sec_0").alias("id"), F.lit("Documento").alias("title"), F.lit(1).alias("level"), F.lit(1).alias("page"), F.lit(None).cast("int").alias("parent_seq"),

@@ -48,19 +48,59 @@ def classify(block: DataFrame, body: float | Column = BODY, threshold: float | C
     """Non-blank blocks with `level`, `list_type` and `kind`: heading before list before text."""
     named = block.where(X.strip("text") != "").withColumns({"level": level(body, threshold), "list_type": X.list_type("text")})
     kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("list_type").isNotNull(), "list").otherwise("text")
-    return settled(named).withColumn("kind", kind)
+    return settled(named, *PAGE).withColumn("kind", kind)
 
 
-def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
-    """rows with `name`, their ordinal from 1 in their file. Rows are numbered within their page; a page's offset comes
-    from the counts of the pages before, so a file of a third of all rows is never sorted as one."""
-    inside = F.row_number().over(W.partitionBy(*PAGE).orderBy(*order))
-    counts = rows.groupBy(*PAGE).agg(F.count("*").alias("_n"))
+def numbered(rows: DataFrame, name: str, *order: str, of: Column | None = None) -> DataFrame:
+    """rows with `name`, their ordinal from 1 in their file, or with `of` the sum of it up to them. Rows are numbered within
+    their page; a page's offset comes from the sums of the pages before, so a file of a third of all rows is never sorted
+    as one."""
+    one = F.lit(1) if of is None else of
+    page = W.partitionBy(*PAGE).orderBy(*order)
+    inside = F.row_number().over(page) if of is None else F.sum(one).over(page)
+    counts = rows.groupBy(*PAGE).agg(F.sum(one).alias("_n"))
     before = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*PAGE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return rows.withColumn("_i", inside).join(offsets, [*PAGE]).withColumn(name, (F.col("_i") + F.col("_before")).cast("int")).drop("_i", "_before")
 
 
+def runs(hits: Column, least: int = 1) -> Column:
+    """hits, an array of struct x and run, cut where run changes: an array of arrays of x with at least `least` each. Takes
+    time in proportion to hits."""
+
+    def cut(h: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.transform(h, lambda r: r["run"]))
+        flags = F.zip_with(F.transform(h, lambda r, k: F.struct(r["run"].alias("run"), (k + 1).alias("at"))), F.slice(before, F.lit(1), F.size(h)), lambda r, p: F.when(r["run"] != p, r["at"]))
+        starts = F.filter(flags, lambda a: a.isNotNull())
+        parts = lambda s: F.zip_with(s, F.concat(F.slice(s, 2, 1 << 30), F.array(F.size(h) + 1)), lambda a, z: F.when(z - a >= least, F.transform(F.slice(h, a, z - a), lambda r: r["x"])))
+        return X.let(starts, lambda s: F.filter(parts(s), lambda r: r.isNotNull()))
+
+    return X.let(hits, lambda h: F.when(F.size(h) >= least, cut(h)).otherwise(F.array().cast("array<array<string>>")))
+
+
+def page_elements(classified: DataFrame) -> DataFrame:
+    """doc_id, page, heads (array of block_idx, text, level), paras (array of texts), n_lists of classified blocks: those
+    of a page in one row. Runs of text are cut in the page's array; pages that are partitioned by doc_id and page already
+    are not shuffled again."""
+    row = F.struct("block_idx", "text", "level", (F.col("kind") == "text").alias("plain"))
+    pages = classified.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("c"), F.count_if(F.col("kind") == "list").cast("int").alias("n_lists"))
+    ranked = F.transform("c", lambda r, k: F.struct(r["text"].alias("text"), k.alias("k"), r["plain"].alias("plain")))
+    hits = F.transform(F.filter(ranked, lambda r: r["plain"]), lambda r, n: F.struct(r["text"].alias("x"), (r["k"] - n).alias("run")))
+    heads = F.transform(F.filter("c", lambda r: r["level"].isNotNull()), lambda r: F.struct(r["block_idx"], X.collapse(r["text"]).alias("text"), r["level"]))
+    return pages.select(*PAGE, heads.alias("heads"), F.transform(runs(hits), lambda p: X.collapse(F.array_join(p, " "))).alias("paras"), "n_lists")
+
+
+def headings_of(elements: DataFrame) -> DataFrame:
+    """doc_id, page, block_idx, seq, text, level of page_elements()."""
+    rows = elements.where("size(heads) > 0").select(*PAGE, F.explode("heads").alias("h")).select(*PAGE, "h.block_idx", "h.text", "h.level")
+    return numbered(rows, "seq", "block_idx")
+
+
+def contents_of(elements: DataFrame) -> DataFrame:
+    """doc_id, page, content: the paragraphs of each page that has some, with empty lines between."""
+    return elements.where("size(paras) > 0").select(*PAGE, F.array_join("paras", "\n\n").alias("content"))
+
+
 def headings(classified: DataFrame, tidy=X.collapse) -> DataFrame:
     """doc_id, page, block_idx, seq (from 1 in the file), id, text, level, bbox."""
     rows = numbered(classified.where("kind = 'heading'"), "seq", "block_idx")
@@ -93,16 +133,8 @@ def is_table_row(x: Column) -> Column:
 def table_runs(x: Column) -> Column:
     """Runs of at least two table-like lines of a text, each an array of its lines. Lines next to each other have the same
     distance between their number and their rank among such lines; runs are cut where it changes. Nothing is shuffled."""
-    rows = F.transform(F.split(x, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    hits = F.transform(F.filter(rows, lambda r: is_table_row(r["line"])), lambda r, k: F.struct(r["line"].alias("line"), (r["i"] - k).alias("run")))
-
-    def cut(h: Column) -> Column:
-        before = F.concat(F.array(F.lit(-1)), F.transform(h, lambda r: r["run"]))
-        flags = F.zip_with(F.transform(h, lambda r, k: F.struct(r["run"].alias("run"), (k + 1).alias("at"))), F.slice(before, F.lit(1), F.size(h)), lambda r, p: F.when(r["run"] != p, r["at"]))
-        starts = F.filter(flags, lambda a: a.isNotNull())
-        return X.let(starts, lambda s: F.filter(F.zip_with(s, F.concat(F.slice(s, 2, 1 << 30), F.array(F.size(h) + 1)), lambda a, z: F.when(z - a >= 2, F.transform(F.slice(h, a, z - a), lambda r: r["line"]))), lambda r: r.isNotNull()))
-
-    return X.let(hits, lambda h: F.when(F.size(h) >= 2, cut(h)).otherwise(F.array().cast("array<array<string>>")))
+    rows = F.transform(F.split(x, "\n"), lambda line, i: F.struct(line.alias("x"), i.alias("i")))
+    return runs(F.transform(F.filter(rows, lambda r: is_table_row(r["x"])), lambda r, k: F.struct(r["x"].alias("x"), (r["i"] - k).alias("run"))), 2)
 
 
 def cells(lines: Column) -> Column:

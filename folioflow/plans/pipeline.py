@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import chunks, entities, sections, structure
 from ..sinks import documents
+from .runtime import checkpointed
 
 
 @dataclass(frozen=True)
@@ -28,14 +29,16 @@ def convert(pages: DataFrame, config: Config = Config(), blocks: DataFrame | Non
     pages = structure.once(pages)
     block = structure.blocks(pages) if blocks is None else blocks
     classified = structure.classify(block) if blocks is None else structure.classify_calibrated(block)  # lines have no fonts
-    heads, paras = structure.headings(classified), structure.paragraphs(classified)
+    # Every line is classified once; headings and paragraphs are read from what was written.
+    found = checkpointed(structure.page_elements(classified))
+    heads, paras = structure.headings_of(found), structure.contents_of(found)
     tables, equations, notes = structure.tables(pages), structure.equations(pages), structure.footnotes(block)
     tree = sections.sections(heads, paras, tables)
     meta, first, sure = sections.metadata(pages, heads), sections.summary(pages), sections.confidence(pages, heads, paras)
     pieces = chunks.generate(tree, tables, config.chunk_size, config.chunk_overlap, config.chunk_most)
     mined = entities.of_files(pages, answers) if config.extract_entities else None
     return {
-        "blocks": block, "headings": heads, "paragraphs": paras, "list_items": structure.list_items(classified), "tables": tables, "equations": equations, "footnotes": notes, "sections": tree,
+        "blocks": block, "headings": structure.headings(classified), "paragraphs": structure.paragraphs(classified), "list_items": structure.list_items(classified), "tables": tables, "equations": equations, "footnotes": notes, "sections": tree,
         "routing": sections.routing(pages, classified, tables, equations, notes, paras, config.prefer_vision_for_tables, config.prefer_vision_for_equations),
         "metadata": meta, "summary": first, "confidence": sure, "chunks": pieces,
         "markdown": documents.markdown(meta, tree, tables, first, notes, config.frontmatter), "json": documents.hybrid_json(meta, tree, tables, pieces, first, sure, entities=mined, figures=figures),

@@ -22,7 +22,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, *keys: str) -> DataFrame:
     """df with its columns as results. Else a filter above would be pushed down through all steps, and every step's
-    expressions repeated in it wherever the next ones use them more than once."""
-    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+    expressions repeated in it wherever the next ones use them more than once. keys: plain columns that pass as they are,
+    so that rows partitioned by them stay so."""
+    return df.select(*keys, F.inline_outer(F.array(F.struct(*[c for c in df.columns if c not in keys]))))
