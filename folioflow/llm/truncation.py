@@ -55,10 +55,11 @@ def grams(docs: DataFrame) -> DataFrame:
     return rows.select(p2.alias("prev2"), p1.alias("prev1"), "word", F.when(n.isNull() | (n == "…"), "end").when(n == ".", "stop").otherwise("word").alias("next"))
 
 
-def limits(docs: DataFrame) -> DataFrame:
-    """source, unit (`chars` or `bytes`), length: lengths at which unfinished texts pile up. docs: source, text, open."""
-    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length("text").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").alias("length")))).alias("u")
-    hist = docs.where("open").select("source", F.xxhash64("text").alias("h"), units).select("source", "h", "u.*").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
+def limits(unfinished: DataFrame) -> DataFrame:
+    """source, unit (`chars` or `bytes`), length: lengths at which unfinished texts pile up. unfinished: source, h (a hash of
+    the text), length, octets of each such text."""
+    units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("length")), F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("length")))).alias("u")
+    hist = unfinished.select("source", "h", units).select("source", "h", "u.*").distinct().groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     near = W.partitionBy("source", "unit").orderBy("length").rangeBetween(-NEAR, NEAR)
     around = (F.sum("n").over(near) - F.col("n")) / (2 * NEAR)
     share = F.col("n") / F.sum("n").over(W.partitionBy("source", "unit"))
@@ -87,27 +88,28 @@ def judge(documents: DataFrame) -> DataFrame:
     two = three.groupBy("prev1", "word").agg(*[F.sum(c).alias(c) for c in ("mid", "stop", "end", "n")])
     one = two.groupBy("word").agg(F.sum("n").alias("n"))
 
-    def nodes(df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Inner nodes of the trie of words used after `by`: their proper prefixes."""
-        known = df.where((F.col("n") > 0) & F.length("word").between(2, 60))
-        prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i)))
-        return known.select(*by, prefix.alias("word")).distinct().withColumn(name, F.lit(True))
-
     # Candidates: texts without an end mark; dots are taken off, they may stand for a cut.
     bare = F.regexp_replace(F.regexp_replace(F.col("tail"), _DOTS, ""), r"\s+$", "")
-    cand = docs.where("open").select("doc_id", "source", F.length("text").alias("length"), F.octet_length("text").alias("octets"), bare.alias("bare"), F.col("last").rlike(_DOTS).alias("dots"), F.col("last").rlike(_BROKEN).alias("broken"))
+    cand = docs.where("open").select("doc_id", "source", F.xxhash64("text").alias("h"), F.length("text").alias("length"), F.octet_length("text").alias("octets"), bare.alias("bare"), F.col("last").rlike(_DOTS).alias("dots"), F.col("last").rlike(_BROKEN).alias("broken"))
     mine = _tokens(F.col("bare"))
     cand = cand.withColumn("t", F.slice(F.concat(F.array(F.lit("."), F.lit(".")), mine), -3, 3))
     x = lambda i: F.get("t", F.lit(i))
     p1 = F.when(_is_end(x(1)), F.lit("^")).otherwise(x(1))
     cand = cand.select(
-        "doc_id", "source", "length", "octets", "dots", "broken",
+        "doc_id", "source", "h", "length", "octets", "dots", "broken",
         x(2).alias("word"), p1.alias("prev1"), F.when(_is_end(x(1)) | _is_end(x(0)), F.lit("^")).otherwise(x(0)).alias("prev2"),
         F.col("bare").rlike(r"\p{L}\p{M}*$").alias("letter"), F.col("bare").rlike(_OPEN).alias("hanging"),
     )
     cand = checkpointed(settled(cand))  # short rows, read again below
     # Each distinct tail is looked up once, so that a tail shared by a third of all texts is one row.
-    tails = cand.select("prev2", "prev1", "word").distinct()
+    ends = tails = checkpointed(cand.select("prev2", "prev1", "word").distinct())
+    def nodes(df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Inner nodes of the trie of words used after `by`: their proper prefixes. Only where a text ends after `by`."""
+        known = df.where((F.col("n") > 0) & F.length("word").between(2, 60))
+        known = known.join(ends.select(*by).distinct(), [*by], "left_semi") if by else known
+        prefix = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), F.lit(1), i)))
+        return known.select(*by, prefix.alias("word")).distinct().withColumn(name, F.lit(True))
+
     tails = tails.join(three.select("prev2", "prev1", "word", F.col("n").alias("n3"), F.col("stop").alias("stop3"), F.col("end").alias("end3")), ["prev2", "prev1", "word"], "left")
     tails = tails.join(three.groupBy("prev2", "prev1").agg(F.sum("n").alias("c3")), ["prev2", "prev1"], "left")
     tails = tails.join(nodes(three, "inner3", "prev2", "prev1"), ["prev2", "prev1", "word"], "left")
@@ -126,7 +128,7 @@ def judge(documents: DataFrame) -> DataFrame:
     closing = (n("n3") == 0) & ~inside  # as often as it may end texts, no text goes on after it
     tails = tails.select("prev2", "prev1", "word", inside.alias("inside"), phrase.alias("phrase"), closing.alias("closing"))
     cand = cand.join(tails, ["prev2", "prev1", "word"], "left")
-    known = limits(docs.select("source", "text", "open"))
+    known = limits(cand)
     chars = known.where("unit = 'chars'").select("source", "length", F.lit(True).alias("at_chars"))
     octets = known.where("unit = 'bytes'").select("source", F.col("length").alias("octets"), F.lit(True).alias("at_bytes"))
     cand = cand.join(chars, ["source", "length"], "left").join(octets, ["source", "octets"], "left")
