@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MONTHS, WS
 from ..inference import elements
+from .sections import full_text
 
 # Patterns of dates, amounts and numbers.
 DATE = r"(?U)\b(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})\b"
@@ -75,8 +76,7 @@ def of_files(pages: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """doc_id and arrays people, organizations, locations, dates, monetary_values, technical_terms: dates and amounts by
     pattern over a file's whole text, its pages two line breaks apart. answers (doc_id, answer, one a file): their
     entities come first, then those by pattern whose original they lack; without them only patterns find any."""
-    pages = pages.select("doc_id", "page", F.coalesce("raw_text", F.lit("")).alias("t"))
-    text = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda p: p["t"]), "\n\n").alias("t"))
+    text = full_text(pages).withColumnRenamed("text", "t")
     none = F.lit(None).cast("string").alias("context")
     by = {"dates": F.transform(dates(F.col("t")), lambda e: F.struct(e["original"], e["normalized"], none)), "monetary_values": F.transform(money(F.col("t")), lambda e: F.struct(e["original"], e["value"], e["currency"], none))}
     found = text.select("doc_id", *[v.alias(f"_{k}") for k, v in by.items()])

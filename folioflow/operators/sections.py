@@ -91,6 +91,12 @@ def untitled(heads: DataFrame, paras: DataFrame) -> DataFrame:
     )
 
 
+def full_text(pages: DataFrame, between: str = "\n\n") -> DataFrame:
+    """doc_id, text: the pages of each file in order; null pages count as empty. One row per file, as prompts need it."""
+    text = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("raw_text", F.lit("")).alias("t")))), lambda p: p["t"])
+    return pages.groupBy("doc_id").agg(F.array_join(text, between).alias("text"))
+
+
 def metadata(pages: DataFrame, heads: DataFrame) -> DataFrame:
     """doc_id, title (the first heading, null without), page_count, language."""
     title = heads.groupBy("doc_id").agg(F.min_by("text", "seq").alias("title"))
@@ -117,7 +123,8 @@ def preview(pages: DataFrame, limit: int = 5000) -> DataFrame:
     return text.groupBy("doc_id").agg(F.substring(whole, 1, limit).alias("preview"))
 
 
-def routing(pages: DataFrame, classified: DataFrame, tables: DataFrame, equations: DataFrame, footnotes: DataFrame, paras: DataFrame, prefer_tables: bool = False, prefer_equations: bool = False, least: float = 0.7) -> DataFrame:
+# Fixed values in routing(): the reasons' wording and the weights of parts.
+def routing(pages: DataFrame, classified: DataFrame, tables: DataFrame, equations: DataFrame, footnotes: DataFrame, paras: DataFrame, prefer_tables: bool = False, prefer_equations: bool = False, least: float = 0.7, figures: DataFrame | None = None) -> DataFrame:
     """doc_id, page, complexity, requires_full_page_vision, for_vision, for_text (ids), n_elements, reason: which parts
     of a page plain text cannot give. Every page has a row; a page without elements is simple."""
     merged, big = F.col("has_merged_cells"), (F.size("data") > 20) | (F.size("columns") > 10)
@@ -128,7 +135,10 @@ def routing(pages: DataFrame, classified: DataFrame, tables: DataFrame, equation
         .when(big, F.format_string("Large table: %dx%d", F.size("data"), F.size("columns")))
     )
     t = tables.select(*PAGE, F.lit(1).alias("kind"), F.col("table_no").alias("no"), "id", why.alias("why"), F.when(merged, 5).otherwise(2).alias("score"))
-    e = equations.select(*PAGE, F.lit(2).alias("kind"), F.col("eq_no").alias("no"), "id", F.lit("Equation processing via vision" if prefer_equations else None).cast("string").alias("why"), F.lit(2).alias("score"))
+    e = equations.select(*PAGE, F.lit(3).alias("kind"), F.col("eq_no").alias("no"), "id", F.lit("Equation processing via vision" if prefer_equations else None).cast("string").alias("why"), F.lit(2).alias("score"))
+    if figures is not None:  # a figure can only be described by looking at it
+        nth = F.row_number().over(W.partitionBy(*PAGE).orderBy("id"))
+        t = t.unionByName(figures.select(*PAGE, F.lit(2).alias("kind"), nth.alias("no"), "id", F.lit("Figure requires vision for description").alias("why"), F.lit(2).alias("score")))
     parts = t.unionByName(e).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("kind", "no", "id", "why"))).alias("p"), F.sum("score").alias("score"), F.count("*").alias("n"))
     plain = classified.groupBy(*PAGE).agg(F.count_if(F.col("kind") == "heading").alias("h"), F.count_if(F.col("kind") == "list").alias("l"))
     others = paras.groupBy(*PAGE).agg(F.count("*").alias("q"))

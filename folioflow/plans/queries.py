@@ -293,9 +293,7 @@ def section_hierarchy(spark, d):
 @query(f"WITH RECURSIVE {_TREE}, up AS (SELECT doc_id, seq, title AS full_title FROM tree WHERE parent_seq IS NULL UNION ALL SELECT t.doc_id, t.seq, u.full_title || ' > ' || t.title FROM tree t JOIN up u ON t.doc_id = u.doc_id AND t.parent_seq = u.seq) SELECT doc_id, seq, full_title FROM up")
 def section_titles(spark, d):
     heads = structure.headings(_classified(spark, d))
-    none = structure.tables(_pages(spark, d)).limit(0)
-    paras = structure.paragraphs(_classified(spark, d)).limit(0)
-    return sections.sections(heads, paras, none).select("doc_id", "seq", "full_title")
+    return sections.lineage(heads).select("doc_id", "seq", "full_title")
 
 
 @query(f"WITH {_PARAS} SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY para_no) AS content FROM q GROUP BY doc_id, page")
@@ -519,11 +517,6 @@ def section_anchors(spark, d):
     return structure.headings(_classified(spark, d)).select("doc_id", "seq", sinks.anchor(F.col("text")).alias("anchor"))
 
 
-@query()
-def markdown_render(spark, d):
-    return pipeline.convert(table(spark, d, "pages", "doc_id", "page", "raw_text"))["markdown"]
-
-
 @query()
 def hybrid_json(spark, d):
     return pipeline.convert(table(spark, d, "pages", "doc_id", "page", "raw_text"))["json"]

@@ -1,6 +1,7 @@
 """What long jobs need of the session."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written once to the folder that all executors share, named in spark.checkpoint.dir, and read from there: later
     jobs neither repeat the work nor depend on an executor that may be lost. Only where the setting is missing and no
     folder was set, as in local tests, a temporary one is used."""
-    spark: SparkSession = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,7 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="folioflow-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share."""
+    return f"{_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, *keys: str) -> DataFrame:

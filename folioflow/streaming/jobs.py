@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.runtime import shared_folder
+
 # Stages of a conversion with the percent they span, and the short names that feeds use for them.
 STAGES = {
     "detection": (5, 10), "text_extraction": (10, 25), "structure_analysis": (25, 40), "routing": (40, 45), "asset_extraction": (45, 55), "vision_processing": (55, 70),
@@ -59,13 +61,36 @@ def stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> Da
     """The latest state per job of a folder that event files drop into, in update mode: arrivals later than `late` after
     the newest time are dropped, repeats within that time count once."""
     raw = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    once = raw.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "ts", "stage", "current", "status"])
+    once = raw.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "ts", "stage", "current", "total", "status", "received_at"])
     rows = once.withColumn("progress", percent())
-    key = F.struct("ts", "current", "stage")
-    return rows.groupBy("job_id").agg(F.max_by("status", key).alias("status"), F.max_by("stage", key).alias("stage"), F.max("progress").alias("progress"))
+    key = F.struct("ts", "received_at", "current", "stage", "status")
+    known = F.when(F.col("progress").isNotNull(), key)  # the last progress that is known, as in latest()
+    return rows.groupBy("job_id").agg(F.max_by("status", key).alias("status"), F.max_by("stage", key).alias("stage"), F.max_by("progress", known).alias("progress"), F.count("*").alias("n_events"))
 
 
 def windows(spark: SparkSession, folder: str, schema, late: str = "1 hour", size: str = "10 minutes") -> DataFrame:
     """Events per stage and window of time, in append mode."""
     raw = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     return raw.withWatermark("ts", late).groupBy(F.window("ts", size), "stage").agg(F.count("*").alias("n"))
+
+
+def drained(spark: SparkSession, path: str, late: str = "36500 days") -> DataFrame:
+    """The latest state per job by stream(), run over the files at `path` until none is left, as a table of its last state.
+    The state is written to the shared folder and read from there; a large `late` drops nothing."""
+    target = shared_folder(spark, "jobs")
+    raw = spark.read.parquet(path)
+    running = stream(spark, path, raw.schema, late).writeStream.outputMode("update").option("checkpointLocation", f"{target}/state").trigger(availableNow=True)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/out/batch={number}")
+
+    running.foreachBatch(put).start().awaitTermination()
+    rows = spark.read.schema("job_id string, status string, stage string, progress int, n_events bigint, batch int").parquet(f"{target}/out")
+    return rows.groupBy("job_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("status", "stage", "progress", "n_events")])
+
+
+def statuses(states: DataFrame) -> DataFrame:
+    """states with what a client may do: `can_cancel` while a job waits or runs, `has_result` once it is completed, `open`
+    unless it has ended."""
+    ended = F.col("status").isin(*TERMINAL)
+    return states.withColumns({"open": ~F.coalesce(ended, F.lit(False)), "can_cancel": ~F.coalesce(ended, F.lit(False)), "has_result": F.coalesce(F.col("status") == "completed", F.lit(False))})

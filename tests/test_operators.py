@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.inference import answers, elements
-from folioflow.operators import chunks, entities, sections, structure
+from folioflow.operators import chunks, entities, figures, sections, structure, vision
 from folioflow.plans import pipeline
 from folioflow.sinks import documents
+from folioflow.sinks import files as sink_files
 from folioflow.sources import files
 from folioflow.streaming import jobs
 
@@ -352,6 +353,8 @@ def _docx(path, paras):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}<w:tbl/></w:body></w:document>')
         z.writestr("word/media/image1.png", b"x" * 10)
+        z.writestr("word/media/small.png", b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + b"\0\0\0\x10\0\0\1\0")
+        z.writestr("docProps/core.xml", '<p xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>T</dc:title><dc:creator/></p>')
 
 
 def test_docx(spark, tmp_path):
@@ -368,7 +371,14 @@ def test_docx(spark, tmp_path):
     assert page.raw_text == "Título\n\nCorpo do texto"
     out = pipeline.convert(files.pages_of(blocks), blocks=blocks.drop("error"))
     assert out["headings"].first().text == "Título"
-    assert [(r.idx, r.name) for r in files.docx_images(found.where("error is null")).collect()] == [(0, "image1.png")]
+    images = files.docx_images(found.where("error is null")).collect()
+    assert [(r.idx, r.name, r.format, r.width) for r in images] == [(0, "image1.png", "png", 0)]
+    info = {r.doc_id.rpartition("/")[2]: r for r in files.docx_info(found.where("error is null")).collect()}
+    assert (info["a.docx"].has_text, info["a.docx"].has_images, info["a.docx"].page_count, info["a.docx"].metadata) == (True, True, 1, {"title": "T"}) and info["bad.docx"].error.startswith("BadZipFile")
+    many = spark.createDataFrame([(r.path, 101) for r in found.where("error is null").select("path").collect()], "doc_id string, page_count int")
+    assert {r.error for r in files.within_pages(found, many).collect()} == {"more than 100 pages", "unsupported extension .txt"}
+    written = sink_files.write_assets(spark.createDataFrame(images), str(tmp_path / "out")).collect()
+    assert all(r.error is None and r.path.endswith("_img_page1_0.png") for r in written) and (tmp_path / "out" / written[0].path.rpartition("/")[2]).read_bytes() == b"x" * 10
     with pytest.raises(NotImplementedError):
         files.pdf_spans(found)
 
@@ -422,3 +432,57 @@ def test_jobs_as_stream(spark, tmp_path):
 
 def test_anchor(spark):
     assert spark.range(1).select(documents.anchor(F.lit("1.2 Ação & Efeito_x")).alias("v")).first().v == "12-ação--efeitox"
+
+
+# Figures, vision, files ------------------------------------------------------------------------------------------------
+
+
+def test_image_sizes():
+    assert files.image_size(b"GIF89a" + b"\x20\0\x10\0") == (32, 16) and files.image_size(b"nothing") == (0, 0)
+    assert files.image_size(b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x11\x08\0\x40\0\x80") == (128, 64) and files.image_size(b"BM" + b"\0" * 16 + b"\7\0\0\0\xf8\xff\xff\xff") == (7, 8)
+
+
+def test_metadata_of_pdfs(spark):
+    raw = spark.createDataFrame([("a", "T", "", None, None, "p", "d", None)], "doc_id string, title string, author string, subject string, creator string, producer string, creationDate string, modDate string")
+    assert files.pdf_metadata(raw).first().metadata == {"title": "T", "producer": "p", "creation_date": "d"}
+
+
+def test_renderings(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    lit, none = F.lit, F.lit(None).cast("string")
+    assert one(figures.render_figure(lit("T"), none, none, lit("a.png"))) == "![T](assets/a.png)\n*T*" and one(figures.render_figure(none, lit("C"), none, none)) == "*C*" and one(figures.render_figure(none, none, none, none)) == ""
+    assert one(figures.render_equation(lit("x"), lit(False), lit("1"))) == "$$\nx\n$$\n*(1)*" and one(figures.render_equation(lit("x"), lit(True), none)) == "$x$"
+    empty, rows = F.array().cast("array<string>"), F.array(F.array(lit("1"), lit("2")), F.array(lit("3")))
+    assert one(figures.render_table(empty, rows)) == "| Col 1 | Col 2 |\n|---|---|\n| 1 | 2 |\n| 3 |  |" and one(figures.render_table(empty, F.array().cast("array<array<string>>"))) == ""
+    assert one(figures.render_table(empty, rows, lit("T"), lit("|own|"))) == "**T**\n\n|own|"
+
+
+def test_pipeline_with_vision(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "1. Um\ntexto corrido\na|b|c\n1|2|3"), ("a", 2, "sem título aqui")], PAGE)
+    routing = pipeline.convert(df)["routing"]
+    asked = vision.requests(routing, spark.createDataFrame([("a", 1, bytearray(b"png")), ("a", 2, bytearray(b"png"))], "doc_id string, page int, image binary"))
+    reply = json.dumps({"figures": [{"title": "F", "caption": "c"}], "tables": [{"headers": ["x"], "data": [["1"]]}]})
+    got = vision.ask(asked, lambda prompt: reply if "página 1" in prompt and prompt.endswith("cG5n") else None)
+    assert [(r.page, r.answer, r.answer_error) for r in got.collect()] == [(1, reply, None)]
+    assets = spark.createDataFrame([("a", 2, 0, "img_page2_0.png")], "doc_id string, page int, idx int, name string")
+    schemas = answers.inferred(spark.createDataFrame([("a", '{"documentType": "ata", "title": "t", "summary": "s"}')], "doc_id string, answer string"))
+    out = pipeline.convert(df, pipeline.Config(raw_text=True), page_answers=got, assets=assets, schemas=schemas)
+    full = json.loads(out["json"].first().json)
+    assert [f["id"] for f in full["content"]["figures"]] == ["fig_v_1_0", "fig_asset_0"] and full["content"]["sections"][0]["figures_refs"] == ["fig_v_1_0"]
+    assert [t["id"] for t in full["content"]["tables"]] == ["table_1", "table_v_1_0"] and full["structured_data"]["_processing"]["confidence"] == 0.4 and [p["page"] for p in full["raw_text_by_page"]] == [1, 2]
+    text = out["markdown"].first().markdown
+    assert "*c*" in text and "## Figuras\n\n![Figura](assets/img_page2_0.png)" in text
+    assert {r.page: r.for_vision for r in out["routing"].collect()} == {1: ["table_1", "fig_v_1_0"], 2: ["fig_asset_0"]} and out["totals"].first()[1:] == (1, 3000)
+    done = sink_files.write_json(out["json"], str(tmp_path)).collect() + sink_files.write_markdown(out["markdown"], str(tmp_path)).collect()
+    assert [r.error for r in done] == [None, None] and json.loads((tmp_path / "a.json").read_text()) == full and (tmp_path / "a.md").read_text() == text
+    assert sink_files.summary(out).startswith("1 documents, 2 pages, 1 sections, 2 tables")
+
+
+def test_states_of_jobs_and_arriving_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", "completed"), ("b", "failed"), ("c", "processing"), ("d", None)], "job_id string, status string")
+    assert {r.job_id: (r.open, r.has_result) for r in jobs.statuses(df).collect()} == {"a": (False, True), "b": (False, False), "c": (True, False), "d": (True, False)}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.pdf").write_bytes(b"%PDF")
+    running = files.detect(files.arrivals(spark, str(tmp_path / "in"))).select("extension", "error").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    running.awaitTermination()
+    assert [tuple(r) for r in spark.table("arrived").collect()] == [(".pdf", None)]
