@@ -94,6 +94,24 @@ def markdown_render(spark, d):
     return _convert(spark, d)["markdown"]
 
 
+@query(
+    f"WITH RECURSIVE {_SECTIONS}{_PAGE_TABLES}, ns AS (SELECT doc_id, count(*) AS n_sections, string_agg(full_title, ' / ' ORDER BY path) AS titles FROM sec GROUP BY doc_id), nt AS (SELECT doc_id, count(*) AS n_tables FROM t GROUP BY doc_id)"
+    ", rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM p), su AS (SELECT doc_id, string_agg(coalesce(raw_text, ''), ' ' ORDER BY page) AS t FROM rk WHERE k <= 3 GROUP BY doc_id)"
+    ", me AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS page_count, least(avg(coalesce(length(raw_text), 0)) / 500, 1.0) AS a FROM p GROUP BY doc_id), ti AS (SELECT doc_id, title FROM h WHERE seq = 1) "
+    "SELECT me.doc_id, title, page_count, CASE WHEN length(t) > 500 THEN substring(t, 1, 500) || '...' ELSE t END AS summary, CAST(coalesce(n_sections, 0) AS INTEGER) AS n_sections, CAST(coalesce(n_tables, 0) AS INTEGER) AS n_tables, "
+    "round((a + CASE WHEN n_sections IS NULL THEN 0.5 ELSE 0.9 END) / 2, 3)::DOUBLE AS confidence FROM me LEFT JOIN ti USING (doc_id) LEFT JOIN su USING (doc_id) LEFT JOIN ns USING (doc_id) LEFT JOIN nt USING (doc_id)"
+)
+def json_layers(spark, d):
+    """What the hybrid JSON of each file says, read back from it."""
+    got = _convert(spark, d)["json"]
+    get = lambda p: F.get_json_object("json", f"$.{p}")
+    many = lambda p: F.coalesce(F.json_array_length(get(p)), F.lit(0))
+    return got.select(
+        "doc_id", get("metadata.title").alias("title"), get("metadata.page_count").cast("int").alias("page_count"), get("content.summary").alias("summary"), many("content.sections").alias("n_sections"),
+        many("content.tables").alias("n_tables"), get("processing_info.overall_confidence").cast("double").alias("confidence"),
+    )
+
+
 def _sections_chunks_sql() -> str:
     cut = _chunk_sql(500, 50, 2000)
     inner = cut[cut.index(",\n a AS (") :].replace("ch AS INTEGER) AS chunk_no", "ch AS INTEGER) AS part")

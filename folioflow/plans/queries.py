@@ -10,6 +10,7 @@ from ..sinks import documents as sinks
 from ..sources.tables import table
 from ..streaming import jobs
 from . import pipeline
+from .runtime import settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -217,10 +218,33 @@ def file_size_words(spark, d):
     return table(spark, d, "documents").select("doc_id", X.file_size("n_chars").alias("size"))
 
 
-@query()
+def _normal_sql() -> str:
+    """The whole chain as steps of SQL, one after the other."""
+    nl = "chr(10)"
+    numbers = _no_page_numbers("t1")
+    parts = f"list_filter(list_transform(string_split(t2, repeat({nl}, 3)), lambda p: list_filter(list_transform(string_split(p, {nl}), lambda s: {_strip('s')}), lambda s: s <> '')), lambda p: len(p) >= 2)"
+    ends = lambda i: f"list_filter(list_transform(parts, lambda p: substring(p[{i}], 1, 100)), lambda e: length(e) > 5)"
+    twice = lambda x: f"list_filter(list_distinct({x}), lambda e: len(list_filter({x}, lambda y: y = e)) >= 2)"
+    drop = rf"regexp_replace(regexp_replace(x, '(?m)^\Q' || e || '\E[{WS}]*\n', '', 'g'), '(?m)\n\Q' || e || '\E[{WS}]*$', '', 'g')"
+    space = _replace(_replace(_replace("t3", r"[ \t]+", " "), r" *\n *", r"\n"), r"\n{3,}", r"\n\n").replace(r", '\n', 'g'", f", {nl}, 'g'").replace(r", '\n\n', 'g'", f", {nl} || {nl}, 'g'")
+    marks = _replace(_replace(_replace(_replace("replace(replace(t5, '–', '-'), '—', '-')", r"\.{4,}", "..."), "-{3,}", "--"), "_{3,}", "__"), " +([.,;:!?])", r"\1")
+    lists = rf"regexp_replace(regexp_replace(t6, '\n[{WS}]*[\-•●○][{WS}]*', {nl} || '- ', 'g'), '\n[{WS}]*(\d+[.)])[{WS}]*', {nl} || '\1 ', 'g')"
+    return f"""WITH {_PAGES},
+ n1 AS (SELECT doc_id, page, raw_text, replace(replace(regexp_replace(coalesce(raw_text, ''), '{X.CONTROL}', '', 'g'), chr(13) || {nl}, {nl}), chr(13), {nl}) AS t1 FROM p),
+ n2 AS (SELECT *, {numbers} AS t2 FROM n1), n3 AS (SELECT *, {parts} AS parts FROM n2), n4 AS (SELECT *, list_concat({twice(ends(1))}, {twice(ends(-1))}) AS again FROM n3),
+ n5 AS (SELECT doc_id, page, raw_text, CASE WHEN len(string_split(t2, {nl})) >= 20 AND len(string_split(t2, repeat({nl}, 3))) >= 2 THEN list_reduce(list_prepend(t2, again), lambda x, e: {drop}) ELSE t2 END AS t3 FROM n4),
+ n6 AS (SELECT *, {space} AS t4 FROM n5), l AS (SELECT doc_id, page, unnest(string_split(t4, {nl})) AS line, generate_subscripts(string_split(t4, {nl}), 1) AS i FROM n6), s AS (SELECT *, {_strip("line")} AS t FROM l),
+ w AS (SELECT *, last_value(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+ n7 AS (SELECT doc_id, page, string_agg(line, {nl} ORDER BY i) AS t5 FROM w WHERE t = '' OR before IS NULL OR t <> before GROUP BY doc_id, page),
+ n8 AS (SELECT *, {marks} AS t6 FROM n7), n9 AS (SELECT doc_id, page, {_strip(lists)} AS text FROM n8),
+ z AS (SELECT n9.doc_id, n9.page, text, coalesce(length(raw_text), 0) AS a, length(text) AS b FROM n9 JOIN p ON n9.doc_id = p.doc_id AND n9.page = p.page)
+ SELECT doc_id, page, text, CAST(a AS INTEGER) AS chars_before, CAST(b AS INTEGER) AS chars_after, CASE WHEN a > 0 THEN round((a - b)::DOUBLE / a * 100, 1) ELSE 0.0 END AS saved_pct, CAST(a // 4 - b // 4 AS BIGINT) AS tokens_saved FROM z"""
+
+
+@query(_normal_sql())
 def normalise_pages(spark, d):
     """The whole chain, with the characters and tokens it saves."""
-    t = _pages(spark, d).select("doc_id", "page", "raw_text", X.normalise("raw_text").alias("text"))
+    t = settled(_pages(spark, d).select("doc_id", "page", "raw_text", X.normalise("raw_text").alias("text")))
     before, after = F.coalesce(F.length("raw_text"), F.lit(0)), F.length("text")
     return t.select("doc_id", "page", "text", before.alias("chars_before"), after.alias("chars_after"), F.when(before > 0, F.round((before - after) / before * 100, 1)).otherwise(0.0).alias("saved_pct"), (F.floor(before / 4) - F.floor(after / 4)).alias("tokens_saved"))
 
@@ -458,17 +482,32 @@ def doc_identity_numbers(spark, d):
     return entities.explode(c, entities.identity_numbers(F.col("text")), "doc_id", "chunk_index")
 
 
-@query(f"WITH {_TABLES}, h AS (SELECT DISTINCT doc_id, page FROM chunks WHERE section_id IS NOT NULL) SELECT t.doc_id, t.page, t.table_no FROM t WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = t.doc_id AND h.page = t.page)".replace("SELECT DISTINCT doc_id, page FROM chunks", "SELECT DISTINCT doc_id, chunk_index AS page FROM chunks"))
+# Tables of chunks on the page that their chunk names, beside the headings of the file's pages.
+_PLACED = (
+    _HEADS + _TABLES[len(_CHUNK_PAGES) :].replace("l AS (", "tl AS (", 1).replace(" FROM l)", " FROM tl)").replace("FROM p WHERE", "FROM cp WHERE", 1).replace(", tl AS (", f", {_CHUNK_PAGES.replace('p AS', 'cp AS', 1)}, tl AS (", 1)
+    + ", pl AS (SELECT t.doc_id, c.page, t.table_no FROM t JOIN (SELECT DISTINCT doc_id, chunk_index, page FROM chunks) c ON t.doc_id = c.doc_id AND t.page = c.chunk_index)"
+)
+
+
+def _placed_tables(spark, d) -> DataFrame:
+    at = table(spark, d, "chunks").select("doc_id", "chunk_index", F.col("page").alias("_at")).distinct()
+    t = structure.tables(_chunk_pages(spark, d)).withColumnRenamed("page", "chunk_index").join(at, ["doc_id", "chunk_index"])
+    return t.drop("chunk_index").withColumnRenamed("_at", "page")
+
+
+@query(f"WITH {_PLACED} SELECT doc_id, page, table_no FROM pl WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = pl.doc_id AND h.page = pl.page)")
 def unreferenced_tables(spark, d):
-    """Tables on chunks that name no section: a left anti join."""
-    named = table(spark, d, "chunks").where("section_id is not null").select("doc_id", F.col("chunk_index").alias("page")).distinct()
-    return structure.tables(_chunk_pages(spark, d)).join(named, ["doc_id", "page"], "left_anti").select("doc_id", "page", "table_no")
+    """Tables on pages without a heading: a left anti join."""
+    named = structure.headings(_classified(spark, d)).select("doc_id", "page").distinct()
+    return _placed_tables(spark, d).join(named, ["doc_id", "page"], "left_anti").select("doc_id", "page", "table_no")
 
 
-@query(f"WITH {_TABLES}, h AS (SELECT DISTINCT doc_id, chunk_index AS page, section_id FROM chunks WHERE section_id IS NOT NULL) SELECT t.doc_id, t.page, t.table_no, h.section_id FROM t JOIN h USING (doc_id, page)")
+@query(f"WITH {_PLACED}, a AS (SELECT doc_id, page, string_agg('table_' || table_no, ',' ORDER BY table_no) AS refs FROM pl GROUP BY doc_id, page) SELECT h.doc_id, h.seq, a.refs FROM h JOIN a USING (doc_id, page)")
 def table_references(spark, d):
-    named = table(spark, d, "chunks").where("section_id is not null").select("doc_id", F.col("chunk_index").alias("page"), "section_id").distinct()
-    return structure.tables(_chunk_pages(spark, d)).join(named, ["doc_id", "page"]).select("doc_id", "page", "table_no", "section_id")
+    """Sections with the tables of their page."""
+    classified = _classified(spark, d)
+    tree = sections.sections(structure.headings(classified), structure.contents_of(structure.page_elements(classified)), _placed_tables(spark, d))
+    return tree.where("size(tables_refs) > 0").select("doc_id", "seq", F.array_join("tables_refs", ",").alias("refs"))
 
 
 # Answers of models ------------------------------------------------------------------------------------------------------
