@@ -123,16 +123,18 @@ def _sections_chunks_sql() -> str:
     return (
         f"WITH RECURSIVE {_SECTIONS}{_PAGE_TABLES}, so AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY path) AS ord, {body} AS b FROM sec), big AS (SELECT doc_id, ord AS page, content AS raw_text FROM so WHERE length(b) // 4 > 500)"
         + steps + f", pieces AS ({final}), every AS (SELECT doc_id, ord, 0 AS part, b AS text FROM so WHERE length(b) // 4 <= 500 AND b <> '' UNION ALL SELECT doc_id, page, part, text FROM pieces UNION ALL "
-        f"SELECT doc_id, 1000000 + table_no, 0, {_GRID.replace('unnest(data)', 'unnest(data[1:20])').replace('generate_subscripts(data, 1)', 'generate_subscripts(data[1:20], 1)').replace('list_resize(r, len(columns), chr(0))', 'r').replace(chr(39) * 2 + '), ' + chr(39) + ' | ' + chr(39), chr(39) * 2 + '), ' + chr(39) + ' | ' + chr(39))}"
+        f"SELECT doc_id, 1000000 + table_no, 0, {_GRID.replace('unnest(data)', 'unnest(data[1:20])').replace('generate_subscripts(data, 1)', 'generate_subscripts(data[1:20], 1)')}"
         " || CASE WHEN len(data) > 20 THEN chr(10) || '... (' || (len(data) - 20) || ' linhas adicionais)' ELSE '' END FROM t) "
-        "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, part) - 1 AS INTEGER) AS chunk_index, text FROM every"
+        ", ix AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, part) - 1 AS INTEGER) AS chunk_index FROM every) "
+        "SELECT ix.doc_id, chunk_index, printf('chunk_%04d', chunk_index) AS id, 'sec_' || (so.seq - 1) AS section_id, coalesce(so.full_title, 'Tabela') AS section_title, CAST(coalesce(so.page, t.page) AS INTEGER) AS page, ix.text, CAST(length(ix.text) // 4 AS INTEGER) AS token_count, "
+        "so.doc_id IS NULL OR (ix.doc_id IN (SELECT doc_id FROM h) AND EXISTS (SELECT 1 FROM t WHERE t.doc_id = so.doc_id AND t.page = so.page)) AS has_table, false AS has_figure "
+        "FROM ix LEFT JOIN so ON ix.doc_id = so.doc_id AND ix.ord = so.ord LEFT JOIN t ON ix.doc_id = t.doc_id AND ix.ord = 1000000 + t.table_no"
     )
 
 
 @query(_sections_chunks_sql().replace("array_to_string(list_resize(r, len(columns), ''), ' | ')", "array_to_string(r, ' | ')"))
-def section_chunks(spark, d):
-    """Texts of all chunks in their order."""
-    return _convert(spark, d)["chunks"].select("doc_id", "chunk_index", "text")
+def chunk_sections(spark, d):
+    return _convert(spark, d)["chunks"]
 
 
 @query(f"WITH {_LINES}" + _CLASSIFIED[len(_LINES) :] + _REST.replace("min(block_idx) AS first_block", "min(block_idx) AS first_block, min(block_idx) * 17.0::DOUBLE AS y0, max(block_idx) * 17.0::DOUBLE + 12.0 AS y1").replace("para_no, first_block", "para_no, y0, y1, first_block") + " SELECT doc_id, page, para_no, 0.0::DOUBLE AS x0, y0, 500.0::DOUBLE AS x1, y1 FROM q")
@@ -310,3 +312,9 @@ def answered_entities(spark, d):
 def job_stream(spark, d):
     """The latest state per job by a stream over the table's file, run until nothing is left; its result is written and read."""
     return jobs.drained(spark, f"{d}/job_events.parque[t]")  # a pattern also takes a single file
+
+
+@query(BATCH["job_progress_changes"])
+def job_change_stream(spark, d):
+    """The change feed by a stream over the table's file, run until nothing is left."""
+    return jobs.drained_changes(spark, f"{d}/job_events.parque[t]")

@@ -419,11 +419,6 @@ def chunk_split_sentences(spark, d):
     return _split(spark, d, 60, 20, 80)
 
 
-@query()
-def chunk_sections(spark, d):
-    return pipeline.convert(table(spark, d, "pages", "doc_id", "page", "raw_text"))["chunks"]
-
-
 @query(
     f"WITH {_TABLES} SELECT doc_id, page, table_no, '| ' || array_to_string(columns, ' | ') || ' |' || chr(10) || '|' || array_to_string(list_transform(columns, lambda c: '---'), '|') || '|' "
     "|| coalesce((SELECT string_agg(chr(10) || '| ' || array_to_string(r, ' | ') || ' |', '' ORDER BY i) FROM (SELECT unnest(data[1:20]) AS r, generate_subscripts(data[1:20], 1) AS i)), '') "

@@ -1,5 +1,8 @@
 """Job progress: percent per event, the latest state per job, the changes a listener sees; as batches and as a stream."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +71,35 @@ def stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> Da
     return rows.groupBy("job_id").agg(F.max_by("status", key).alias("status"), F.max_by("stage", key).alias("stage"), F.max_by("progress", known).alias("progress"), F.count("*").alias("n_events"))
 
 
+CHANGE = "job_id string, ts timestamp, status string, stage string, progress int"
+
+
+def change_stream(spark: SparkSession, folder: str, schema, late: str = "1 hour") -> DataFrame:
+    """changes() as a stream, in append mode: of each job's events, in the order of their arrival in batches and within a
+    batch by time, those that a listener is sent. A job's state is the progress it was last sent; it is forgotten once the
+    job has ended, so states are as many as there are open jobs."""
+    raw = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).where("job_id is not null and ts is not null")
+    once = raw.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "ts", "stage", "current", "total", "status", "received_at"])
+    rows = once.withColumn("progress", percent()).where("progress is not null").select("job_id", "ts", "received_at", "current", "stage", "status", "progress")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        pdf = pd.concat(list(parts)).sort_values(list(_ORDER), na_position="first", kind="stable")
+        out, ended = [], False
+        for ts, status, stage, progress in zip(pdf["ts"], pdf["status"], pdf["stage"], pdf["progress"].tolist()):
+            ended = status in TERMINAL
+            if last is None or progress != last or ended:
+                out.append((key[0], ts, status, stage, int(progress)))
+            last = progress
+        if ended and state.exists:
+            state.remove()
+        elif not ended:
+            state.update((int(last),))
+        yield pd.DataFrame(out, columns=["job_id", "ts", "status", "stage", "progress"])
+
+    return rows.groupBy("job_id").applyInPandasWithState(step, CHANGE, "last int", "append", "NoTimeout")
+
+
 def windows(spark: SparkSession, folder: str, schema, late: str = "1 hour", size: str = "10 minutes") -> DataFrame:
     """Events per stage and window of time, in append mode."""
     raw = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -77,16 +109,26 @@ def windows(spark: SparkSession, folder: str, schema, late: str = "1 hour", size
 def drained(spark: SparkSession, path: str, late: str = "36500 days") -> DataFrame:
     """The latest state per job by stream(), run over the files at `path` until none is left, as a table of its last state.
     The state is written to the shared folder and read from there; a large `late` drops nothing."""
-    target = shared_folder(spark, "jobs")
-    raw = spark.read.parquet(path)
-    running = stream(spark, path, raw.schema, late).writeStream.outputMode("update").option("checkpointLocation", f"{target}/state").trigger(availableNow=True)
+    schema = "job_id string, status string, stage string, progress int, n_events bigint"
+    rows = _run(stream(spark, path, spark.read.parquet(path).schema, late), schema, "update")
+    return rows.groupBy("job_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("status", "stage", "progress", "n_events")])
+
+
+def drained_changes(spark: SparkSession, path: str, late: str = "36500 days") -> DataFrame:
+    """change_stream() over the files at `path` until none is left, as a table."""
+    return _run(change_stream(spark, path, spark.read.parquet(path).schema, late), CHANGE, "append").drop("batch")
+
+
+def _run(streamed: DataFrame, schema: str, mode: str) -> DataFrame:
+    """What a stream gives until nothing is left, with the number of its `batch`, from files in the shared folder."""
+    spark = streamed.sparkSession
+    target = shared_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/out/batch={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/out/n={number}")
 
-    running.foreachBatch(put).start().awaitTermination()
-    rows = spark.read.schema("job_id string, status string, stage string, progress int, n_events bigint, batch int").parquet(f"{target}/out")
-    return rows.groupBy("job_id").agg(*[F.max_by(c, "batch").alias(c) for c in ("status", "stage", "progress", "n_events")])
+    streamed.writeStream.outputMode(mode).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(f"{schema}, batch int").option("recursiveFileLookup", "true").parquet(f"{target}/out")
 
 
 def statuses(states: DataFrame) -> DataFrame:

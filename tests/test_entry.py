@@ -69,9 +69,9 @@ def test_record_queries_agree_with_each_other(spark, con):
 
 
 def test_documents_agree_with_their_parts(spark):
-    docs, tree, pieces, chunk = _all(spark, "hybrid_json", "section_tree", "chunk_sections", "section_chunks")
+    docs, tree, chunk = _all(spark, "hybrid_json", "section_tree", "chunk_sections")
     full = [json.loads(j) for j in docs["json"]]
-    assert sum(len(d["content"]["sections"]) for d in full if d["content"]["sections"]) == len(tree) and sum(len(d["chunks"]) for d in full if d["chunks"]) == len(pieces) == len(chunk)
+    assert sum(len(d["content"]["sections"]) for d in full if d["content"]["sections"]) == len(tree) and sum(len(d["chunks"]) for d in full if d["chunks"]) == len(chunk)
     assert sorted(c["text"] for d in full for c in d["chunks"] or []) == sorted(chunk["text"]) and sorted(s["content"] for d in full for s in d["content"]["sections"] or []) == sorted(tree["content"])
 
 
