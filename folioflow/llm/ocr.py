@@ -693,7 +693,7 @@ def reflow(lines: list[str], furniture: set[int], joins: dict[int, str], words:
             now = ""
         now += s if open_word or not now else f" {s}"
         open_word = i in joins or (s[-1] in _MARKS and len(s) > 1 and s[-2].isalpha())
-        if i in joins:
+        if "\x00" in joins.get(i, ""):  # a word whose other half is on the next page keeps its mark
             now = now.rstrip(_HYPHENS + " ")
     if now:
         out.append(now)

@@ -331,6 +331,10 @@ def test_the_words_beside_a_misread_word_choose(spark):
     assert got == {("b", 1): "a diretoria administrativa aprovou", ("b", 2): "o quadro administrativo seguiu"}
 
 
+def test_a_word_broken_over_the_pages_end_keeps_its_mark():
+    assert ocr.reflow(["durante o se-"], set(), {1: "se"}, {}) == ["durante o se-"] and ocr.reflow(["o se-", "gundo"], set(), {1: "se\x00gundo"}, {}) == ["o segundo"]
+
+
 def test_page_number_beside_a_running_header(spark):
     body = "a equipe revisou o contrato e a garantia do painel no anexo da obra"
     foot = lambda n: f"Página {n} de 12   Processo administrativo 628 | Volume II"
